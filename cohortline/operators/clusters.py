@@ -84,17 +84,9 @@ def top_outliers(df: DataFrame, columns: Sequence[str], key: Sequence[str], limi
 
 def zoom_bounds(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows whose coordinates all lie within their own percentile window."""
-    bounds = exact_quantiles(df, columns, [low, high])
-    edges = bounds.agg(
-        *[
-            F.max(F.when(F.col("feature") == c, F.col(q))).alias(f"{c}_{q}")
-            for c in columns
-            for q in ("q0", "q1")
-        ]
-    )
-    edge = edges.select(F.struct("*").alias("edges")).scalar()
+    bounds = {r["feature"]: (r["q0"], r["q1"]) for r in exact_quantiles(df, columns, [low, high]).collect()}
     for c in columns:
-        df = df.where(F.col(c).between(edge[f"{c}_q0"], edge[f"{c}_q1"]))
+        df = df.where(F.col(c).between(*bounds[c]))
     return df
 
 

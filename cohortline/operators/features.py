@@ -142,18 +142,22 @@ def category_cardinality(
     return _value_counts(df, columns).groupBy("feature").agg(F.count("*").alias("distinct_values"))
 
 
-def fitted_row(stats: DataFrame, value: str, columns: Sequence[str]) -> Column:
-    """A (feature, value) table as one struct with a field per column: a scalar subquery."""
-    row = stats.agg(*[F.max(F.when(F.col("feature") == c, F.col(value))).alias(c) for c in columns])
-    return row.select(F.struct(*columns).alias("fitted")).scalar()
+def fitted_values(stats: DataFrame, value: str) -> dict[str, float | None]:
+    """A fitted (feature, value) table as numbers of the plan: one per column, so always small.
+
+    As literals they cost nothing per row; as subqueries Spark would plan the fit once per column.
+    """
+    return {row["feature"]: row[value] for row in stats.select("feature", value).collect()}
 
 
 # ---------------------------------------------------------------- applying them
 
 
 def fill_medians(df: DataFrame, medians: DataFrame, columns: Sequence[str]) -> DataFrame:
-    fitted = fitted_row(medians, "median", columns)
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), fitted[c]) for c in columns})
+    fitted = fitted_values(medians, "median")
+    return df.withColumns(
+        {c: F.coalesce(F.col(c).cast("double"), F.lit(fitted[c]).cast("double")) for c in columns}
+    )
 
 
 def encode_features(
@@ -191,13 +195,12 @@ def encode_features(
 
 def standardize(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - mean) / population deviation; a column that was constant in fitting is only centred (gives 0 there)."""
-    mean, std = fitted_row(stats, "mean", columns), fitted_row(stats, "std", columns)
-    return df.withColumns(
-        {
-            c: (F.col(c).cast("double") - mean[c]) / F.when(std[c] > 0, std[c]).otherwise(F.lit(1.0))
-            for c in columns
-        }
-    )
+    fitted = {row["feature"]: (row["mean"], row["std"]) for row in stats.collect()}
+    scaled = {}
+    for c in columns:
+        mean, std = fitted[c]
+        scaled[c] = (F.col(c).cast("double") - F.lit(mean).cast("double")) / F.lit(std or 1.0)
+    return df.withColumns(scaled)
 
 
 # ---------------------------------------------------------------- row splits

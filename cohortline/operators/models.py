@@ -131,11 +131,12 @@ def fit_preprocessor(
     medians = {c: 0.0 for c in numeric}
     means, stds = dict(medians), dict(medians)
     if numeric:
-        medians |= {r["feature"]: r["median"] for r in column_medians(train, numeric).collect()}
+        medians |= {r["feature"]: r["median"] or 0.0 for r in column_medians(train, numeric).collect()}
     rows = _filled(train, numeric, categorical, medians)
     if numeric:
         for r in mean_std(rows, [f"_n_{c}" for c in numeric]).collect():
-            means[r["feature"][3:]], stds[r["feature"][3:]] = r["mean"], r["std"]
+            name = r["feature"].removeprefix("_n_")
+            means[name], stds[name] = r["mean"], r["std"]
     scale = fit_scale(train, vector) if vector else None
     parts = [f"_n_{c}" for c in numeric]
     stages = []

@@ -61,8 +61,8 @@ def running_totals(
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact, linearly interpolated quantiles of several columns at once.
 
-    One row per column: ``feature``, ``n`` and ``q0``, ``q1``, ... in the order of ``probs``. The
-    built-in ``percentile`` keeps all distinct values of a column in one buffer; this does not.
+    One row per column: ``feature``, ``n`` and ``q0``, ``q1``, ... in the order of ``probs``; a column
+    without values has n = 0 and NULL quantiles. The built-in ``percentile`` keeps all distinct values of a column in one buffer; this does not.
     """
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     counted = (
@@ -91,10 +91,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}")).alias(f"q{i}")
         for i in range(len(probs))
     ]
-    return (
-        placed.groupBy("feature")
-        .agg(F.max("total").alias("n"), *picks)
-        .select("feature", "n", *quantiles)
+    found = placed.groupBy("feature").agg(F.max("total").alias("total"), *picks)
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    return names.join(found, "feature", "left").select(
+        "feature", F.coalesce("total", F.lit(0)).alias("n"), *quantiles
     )
 
 
