@@ -81,6 +81,5 @@ def term_order(year: Column, semester: Column, malformed_as_zero: bool = False)
 
 def school_year_of(y: Column) -> Column:
     """Four-digit year text to ``y-(y+1)``, else NULL."""
-    return F.when(
-        y.rlike(r"^\d{4}$"), F.concat(y, F.lit("-"), (y.try_cast("int") + 1).cast("string"))
-    )
+    year = F.nullif(F.regexp_extract(y, r"^\d{4}$", 0), F.lit(""))
+    return F.concat(year, F.lit("-"), (year.try_cast("int") + 1).cast("string"))

@@ -104,7 +104,7 @@ class Campus:
             _text(key % 30).alias("BJ"),
             _text(key % 9).alias("BH"),
             _text(F.year("o_orderdate")).alias("TCNF"),
-            F.when(key % 4 == 0, "absent").otherwise(_text(F.lit(40.0) + (key % 240) / 4)).alias("ZF"),
+            F.when(key % 4 != 0, F.lit(40.0) + (key % 240) / 4).alias("ZF"),
             F.when(key % 5 == 0, " ")
             .otherwise(F.concat(_text(key % 40 + 150), F.lit(" / "), _text((key % 60) / 2 + 40)))
             .alias("BMI"),
@@ -217,7 +217,7 @@ class Campus:
         lines = self.table("lineitem").join(orders, F.col("l_orderkey") == key)
         return {
             "student_basic": self.profile_sources[0].df,
-            "physical_test": self.fitness_rows,
+            "physical_test": self.fitness_rows.withColumn("ZF", F.coalesce(_text(F.col("ZF")), F.lit("absent"))),
             "online_learning": self.online_rows,
             "course_select": orders.select(
                 F.when(key % 50 == 0, F.concat(F.lit("x"), _text(F.col("o_custkey")))).otherwise(student).alias("XH"),
