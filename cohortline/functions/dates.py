@@ -33,7 +33,7 @@ def to_date_flexible(c: Column, strict_serial: bool = False) -> Column:
     Six digits that read as a month are taken as yyyyMM; ``strict_serial`` treats them as a day number.
     """
     text = strip(c)
-    day = to_double(c).cast("int")
+    day = to_double(c).try_cast("int")
     serial = F.when(
         day.between(SERIAL_MIN, SERIAL_MAX), F.date_add(F.lit(SERIAL_ORIGIN).cast("date"), day)
     )

@@ -124,6 +124,7 @@ def blockwise(
     two blocks of about ``block_rows`` rows.
     """
     lefts, rights = (max(1, -(-df.count() // block_rows)) for df in (left, right))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # own columns when both sides are one table
     l_rows = left.withColumns(
         {"_l": F.pmod(F.xxhash64(left_key), F.lit(lefts)), "_r": F.explode(F.sequence(F.lit(0), F.lit(rights - 1)))}
     )

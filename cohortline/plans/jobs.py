@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from cohortline.operators import clusters, dynamics, facts, features, identity, models, personas
 from cohortline.operators.identity import Source
 from cohortline.operators.vectors import fit_scale, scale_vectors
+from cohortline.session import cut_lineage
 from cohortline.sources.reports import build_report
-from cohortline.sources.schemas import FLAG, LABEL, SEMESTER_BASE, TERM_KEY
+from cohortline.sources.schemas import FLAG, LABEL, SEMESTER_BASE
 from cohortline.sources.tables import ORDINAL, write_table
 
 
@@ -143,12 +144,16 @@ def feature_tables(
 
 
 def cluster_tables(last: DataFrame, key: str = "student_id", vector: str = "embedding", **search) -> dict[str, DataFrame]:
-    """Scale, cut outliers, search k on the rest, profile. ``last`` has one embedded row per student."""
+    """Scale, cut outliers, search k on the rest, profile. ``last`` has one embedded row per student.
+
+    The search reads its rows dozens of times and the result feeds six tables: both are written once.
+    """
     scaled = scale_vectors(last, fit_scale(last, vector), vector)
-    flagged = clusters.outlier_flag(scaled, "embedding_scaled")
+    flagged = cut_lineage(clusters.outlier_flag(scaled, "embedding_scaled"))
     found = clusters.choose_k(clusters.inliers(flagged), key, **search)
     outliers = flagged.where(F.col("is_outlier") == 1).withColumn("cluster", F.lit(clusters.OUTLIER))
-    assigned = found.labelled.unionByName(outliers).withColumn("risk_label_next_term_numeric", F.col(LABEL))
+    labelled = found.labelled.unionByName(outliers).withColumn("risk_label_next_term_numeric", F.col(LABEL))
+    assigned = cut_lineage(labelled)
     return {
         "assigned": assigned,
         "k_search": found.table,
@@ -200,5 +205,3 @@ def risk_tables(
     train, test = (split.where(F.col("split") == name) for name in ("train", "test"))
     predictions = models.grid_predictions(train, test, **grid)
     return {"predictions": predictions, "metrics": models.evaluate(predictions, by=["feature_set", "model"])}
-
-
