@@ -162,7 +162,7 @@ def with_term(df: DataFrame, day: str) -> DataFrame:
 
 def score_measures(facts: DataFrame, rules: str = STRICT) -> DataFrame:
     """Apply the validity rules once, so that one set of aggregates serves both rule sets."""
-    flagged = ~is_blank(F.col("resit")) & (strip(F.col("resit")) != NORMAL_EXAM)
+    flagged = F.coalesce(non_blank(F.col("resit")) != NORMAL_EXAM, F.lit(False))
     if rules == STRICT:
         valid = F.coalesce(valid_score(F.col("score")), F.lit(False))
         counted, score = F.when(valid, 1), F.when(valid, F.col("score"))

@@ -16,6 +16,7 @@ from cohortline.functions.text import WHITESPACE
 from cohortline.operators import facts, identity
 from cohortline.operators.identity import Source
 from cohortline.plans import jobs
+from cohortline.session import cut_lineage
 
 POOL_YEARS = tuple(f"{y}-{y + 1}" for y in range(1995, 2000))
 SPLIT_YEARS = {
@@ -201,6 +202,11 @@ class Campus:
     def base(self) -> DataFrame:
         return jobs.semester_base(self.course, self.score, self.usage, self.status, self.card)
 
+    @cached_property
+    def base_table(self) -> DataFrame:
+        """The semester table written once, as the jobs hand it on: for queries that fit and then apply."""
+        return cut_lineage(self.base)
+
     @cached_property
     def raw(self) -> dict[str, DataFrame]:
         """Every semester source as a raw text table, dates in four notations."""

@@ -44,11 +44,17 @@ split AS (SELECT *, CASE {_SPLIT_CASE} END AS split FROM features WHERE CASE {_S
 
 
 def feature_rows(c: Campus) -> DataFrame:
+    """Straight from the sources."""
     return features.select_features(features.typed_features(c.base))
 
 
+def feature_table(c: Campus) -> DataFrame:
+    """From the written semester table, for queries that read it more than once."""
+    return features.select_features(features.typed_features(c.base_table))
+
+
 def pool(c: Campus) -> DataFrame:
-    return features.pool(feature_rows(c), POOL_YEARS)
+    return features.pool(feature_table(c), POOL_YEARS)
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -139,7 +145,7 @@ SELECT {IDS}, {_CODE_COLUMNS}, {", ".join(_encoded_number(c) for c in NUMERIC_FE
 def encode_features(c: Campus) -> DataFrame:
     """Fitted on the pool, applied to every row: later years may hold unseen categories."""
     fitted = pool(c)
-    encoded = features.encode_features(feature_rows(c), features.column_medians(fitted), features.category_codes(fitted))
+    encoded = features.encode_features(feature_table(c), features.column_medians(fitted), features.category_codes(fitted))
     return rounded(encoded, *NUMERIC_FEATURES)
 
 
@@ -152,7 +158,7 @@ _SCALED = ", ".join(
 @query(f"{SQL_FEATURES} SELECT {IDS}, {_SCALED} FROM features")
 def standardize(c: Campus) -> DataFrame:
     stats = features.mean_std(pool(c), NUMERIC_FEATURES)
-    scaled = features.standardize(feature_rows(c), stats, NUMERIC_FEATURES)
+    scaled = features.standardize(feature_table(c), stats, NUMERIC_FEATURES)
     return rounded(scaled, *NUMERIC_FEATURES).select(*ID_COLUMNS, *NUMERIC_FEATURES)
 
 
@@ -163,7 +169,7 @@ ranked AS (
   FROM features WHERE {LABEL} IS NOT NULL)
 SELECT {IDS}, {LABEL}, CASE WHEN rn <= ceil(n * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM ranked""")
 def stratified_split(c: Campus) -> DataFrame:
-    rows = features.labelled_only(feature_rows(c)).select(*ID_COLUMNS, LABEL)
+    rows = features.labelled_only(feature_table(c)).select(*ID_COLUMNS, LABEL)
     return features.stratified_split(rows, LABEL, ["student_id", "school_year", "semester"])
 
 

@@ -12,7 +12,7 @@ from cohortline.operators.models import FEATURE_SETS
 from cohortline.session import cut_lineage
 from cohortline.sources.schemas import ID_COLUMNS, LABEL
 from cohortline.workload.campus import DIMS, SPLIT_YEARS, SQL_BASE, SQL_EMBEDDED_TERMS, SQL_SCORED, Campus, r
-from cohortline.workload.preparation import rounded
+from cohortline.workload.preparation import feature_rows, rounded
 from cohortline.workload.registry import query
 
 TERM_KEYS = ["student_id", "school_year", "semester"]
@@ -142,7 +142,7 @@ def rank_models(c: Campus) -> DataFrame:
 
 def labelled_split(c: Campus) -> tuple[DataFrame, DataFrame]:
     """Train and test years of the labelled rows, written once so that fits do not rebuild the table."""
-    rows = features.labelled_only(features.select_features(features.typed_features(c.base)))
+    rows = features.labelled_only(feature_rows(c))
     split = cut_lineage(features.year_split(rows, SPLIT_YEARS))
     return split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
 
