@@ -325,6 +325,15 @@ def r(x: str, digits: int = 4) -> str:
     return f"(round_even(CAST({x} AS DOUBLE), {digits}) + 0.0)"
 
 
+# Means of decimal numbers can lie exactly between two six-digit values, and then the order of addition
+# decides. Comparisons of fitted numbers shift them off such ties first, on both sides.
+TIE_SHIFT = 1e-9
+
+
+def r6(x: str) -> str:
+    return r(f"({x}) + CAST({TIE_SHIFT} AS DOUBLE)", 6)
+
+
 def sql_text(x: str) -> str:
     return f"nullif(trim(CAST({x} AS VARCHAR), {WS}), '')"
 

@@ -6,12 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.functions import half_even
 from cohortline.operators import clusters, dynamics, personas, vectors
 from cohortline.operators.clusters import PROFILE_MEANS
 from cohortline.operators.features import last_term
 from cohortline.operators.personas import PERSONA_ORDER
-from cohortline.workload.campus import DIMS, SQL_EMBEDDED_TERMS, Campus, r
+from cohortline.workload.campus import DIMS, SQL_EMBEDDED_TERMS, Campus, r6
 from cohortline.workload.preparation import rounded
 from cohortline.workload.registry import query
 
@@ -25,15 +24,15 @@ def labelled_vectors(c: Campus) -> DataFrame:
     return c.table("embeddings").select("vec_id", F.col("label").alias("cluster"), "embedding")
 
 
-@query(f"WITH {SQL_CENTRES} SELECT CAST(cluster AS INTEGER) AS cluster, CAST(dim AS INTEGER) AS dim, {r('centre', 6)} AS value, n FROM centres")
+@query(f"WITH {SQL_CENTRES} SELECT CAST(cluster AS INTEGER) AS cluster, CAST(dim AS INTEGER) AS dim, {r6('centre')} AS value, n FROM centres")
 def centroids(c: Campus) -> DataFrame:
     found = vectors.centroids(labelled_vectors(c))
-    return found.select("cluster", F.posexplode("centre").alias("dim", "value"), "n").withColumn("value", half_even(F.col("value"), 6))
+    return rounded(found.select("cluster", F.posexplode("centre").alias("dim", "value"), "n"), "value")
 
 
 @query(f"""WITH {SQL_CENTRES},
 far AS (SELECT vec_id, c.cluster, sqrt(sum((x - centre) * (x - centre))) AS d FROM long JOIN centres c USING (dim) GROUP BY ALL)
-SELECT vec_id, CAST(arg_min(cluster, d) AS INTEGER) AS nearest, {r("min(d)", 6)} AS nearest_distance FROM far GROUP BY vec_id""")
+SELECT vec_id, CAST(arg_min(cluster, d) AS INTEGER) AS nearest, {r6("min(d)")} AS nearest_distance FROM far GROUP BY vec_id""")
 def nearest_centroid(c: Campus) -> DataFrame:
     rows = labelled_vectors(c)
     found = vectors.nearest_centroid(rows.select("vec_id", "embedding"), vectors.centroids(rows))
@@ -45,7 +44,7 @@ SQL_NEIGHBOURS = """WITH pairs AS (
          round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12) AS s
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s DESC, other) AS rn FROM pairs)
-SELECT key, other AS neighbour, """ + r("s", 6) + """ AS cosine FROM ranked WHERE rn = 1"""
+SELECT key, other AS neighbour, """ + r6("s") + """ AS cosine FROM ranked WHERE rn = 1"""
 
 
 @query(SQL_NEIGHBOURS)
@@ -71,7 +70,7 @@ def encoder_layers() -> list[tuple[np.ndarray, np.ndarray]]:
 
 @query(f"""WITH {SQL_LONG},
 outputs AS (SELECT unnest(generate_series(1, {ENCODED})) AS j)
-SELECT vec_id, CAST(j - 1 AS INTEGER) AS output, {r("greatest(sum(x * sin((dim + 1) * j)) + cos(any_value(j)), 0)", 6)} AS value
+SELECT vec_id, CAST(j - 1 AS INTEGER) AS output, {r6("greatest(sum(x * sin((dim + 1) * j)) + cos(any_value(j)), 0)")} AS value
 FROM long, outputs GROUP BY vec_id, j""")
 def encode_batch(c: Campus) -> DataFrame:
     encoded = vectors.encode_batch(c.table("embeddings").select("vec_id", "embedding"), encoder_layers())
@@ -90,7 +89,7 @@ def measured(c: Campus) -> DataFrame:
     return clusters.outlier_flag(labelled_vectors(c))
 
 
-@query(f"WITH {SQL_DISTANCE} SELECT CAST(99.5 AS DOUBLE) AS percentile, n, {r('threshold', 6)} AS threshold FROM cut")
+@query(f"WITH {SQL_DISTANCE} SELECT CAST(99.5 AS DOUBLE) AS percentile, n, {r6('threshold')} AS threshold FROM cut")
 def percentile_threshold(c: Campus) -> DataFrame:
     rows = labelled_vectors(c)
     centre = vectors.fit_scale(rows).mean
@@ -99,7 +98,7 @@ def percentile_threshold(c: Campus) -> DataFrame:
 
 
 @query(f"""WITH {SQL_DISTANCE}
-SELECT vec_id, {r("d", 6)} AS embedding_distance_to_center, {r("threshold", 6)} AS outlier_distance_threshold,
+SELECT vec_id, {r6("d")} AS embedding_distance_to_center, {r6("threshold")} AS outlier_distance_threshold,
   CASE WHEN d > threshold THEN 1 ELSE 0 END AS is_outlier FROM measured, cut""")
 def outlier_flag(c: Campus) -> DataFrame:
     flagged = rounded(measured(c), "embedding_distance_to_center", "outlier_distance_threshold")
@@ -107,7 +106,7 @@ def outlier_flag(c: Campus) -> DataFrame:
 
 
 @query(f"""WITH {SQL_DISTANCE}
-SELECT vec_id, cluster, {r("d", 6)} AS embedding_distance_to_center, CASE WHEN d > threshold THEN 1 ELSE 0 END AS is_outlier
+SELECT vec_id, cluster, {r6("d")} AS embedding_distance_to_center, CASE WHEN d > threshold THEN 1 ELSE 0 END AS is_outlier
 FROM measured, cut ORDER BY d DESC, vec_id LIMIT 50""")
 def top_outliers(c: Campus) -> DataFrame:
     columns = ["vec_id", "cluster", "embedding_distance_to_center", "is_outlier"]
@@ -127,7 +126,7 @@ def zoom_bounds(c: Campus) -> DataFrame:
 # ---------------------------------------------------------------- profiles
 
 MEANS = tuple(PROFILE_MEANS)
-_MEANS_SQL = ", ".join(f"{r(f'avg({source})', 6)} AS {name}" for name, source in PROFILE_MEANS.items())
+_MEANS_SQL = ", ".join(f"{r6(f'avg({source})')} AS {name}" for name, source in PROFILE_MEANS.items())
 
 
 @query(f"""{SQL_EMBEDDED_TERMS} SELECT cluster, count(*) AS student_count, CAST(sum(is_outlier) AS BIGINT) AS outlier_count, {_MEANS_SQL}
@@ -160,7 +159,7 @@ parts AS (
   SELECT vec_id, max(CASE WHEN own = other THEN n END) AS own_n,
          max(CASE WHEN own = other THEN total / greatest(n - 1, 1) END) AS a, min(CASE WHEN own <> other THEN total / n END) AS b
   FROM pairs GROUP BY vec_id)
-SELECT count(*) AS n, """ + r("avg(CASE WHEN own_n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)", 6) + " AS silhouette FROM parts")
+SELECT count(*) AS n, """ + r6("avg(CASE WHEN own_n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)") + " AS silhouette FROM parts")
 def silhouette(c: Campus) -> DataFrame:
     return rounded(clusters.silhouette(labelled_vectors(c), "vec_id"), "silhouette")
 
@@ -209,8 +208,8 @@ whole AS (SELECT vec_id, sqrt(sum(z * z)) AS d, max(CASE WHEN dim = 1 THEN z END
 far AS (SELECT vec_id, group_id, sqrt(sum((z - centre) * (z - centre))) AS d FROM long JOIN centres USING (dim) GROUP BY ALL),
 near AS (SELECT vec_id, arg_min(group_id, d) AS nearest FROM far GROUP BY vec_id)
 SELECT vec_id, CAST(CASE WHEN d > {THRESHOLD} THEN -1 ELSE nearest END AS INTEGER) AS cluster,
-  CASE WHEN d > {THRESHOLD} THEN 1 ELSE 0 END AS is_outlier, {r("d", 6)} AS embedding_distance_to_center,
-  {r("first_scaled", 6)} AS first_scaled FROM whole JOIN near USING (vec_id)""")
+  CASE WHEN d > {THRESHOLD} THEN 1 ELSE 0 END AS is_outlier, {r6("d")} AS embedding_distance_to_center,
+  {r6("first_scaled")} AS first_scaled FROM whole JOIN near USING (vec_id)""")
 def assign_semesters(c: Campus) -> DataFrame:
     terms = c.embedded_terms.select("vec_id", "student_id", "school_year", "semester", "term_order", "cluster", "embedding")
     last = last_term(terms).withColumn("cluster", F.when(F.col("cluster") == 9, -1).otherwise(F.col("cluster")))
@@ -237,9 +236,9 @@ counts AS (SELECT from_cluster, from_cluster_name, to_cluster, to_cluster_name,
 rates AS (SELECT *, CAST(sum(count) OVER (PARTITION BY from_cluster) AS BIGINT) AS row_total FROM counts),
 risk AS (
   SELECT from_cluster, from_cluster_name, to_cluster, to_cluster_name, count(student_id) AS transition_count,
-    {r("avg(risk_label_next_term_numeric)", 6)} AS next_term_risk_rate, {r("avg(next_term_risk_event_current)", 6)} AS next_term_risk_event_rate,
-    {r("avg(from_avg_score)", 6)} AS from_avg_score_mean, {r("avg(from_fail_course_count)", 6)} AS from_fail_course_count_mean,
-    {r("avg(from_internet_hours_sum)", 6)} AS from_internet_hours_sum_mean
+    {r6("avg(risk_label_next_term_numeric)")} AS next_term_risk_rate, {r6("avg(next_term_risk_event_current)")} AS next_term_risk_event_rate,
+    {r6("avg(from_avg_score)")} AS from_avg_score_mean, {r6("avg(from_fail_course_count)")} AS from_fail_course_count_mean,
+    {r6("avg(from_internet_hours_sum)")} AS from_internet_hours_sum_mean
   FROM paths GROUP BY ALL),
 term_clusters AS (SELECT school_year, semester, cluster, cluster_name, count(*) AS count FROM embedded_terms GROUP BY ALL)"""
 _RISK_MEANS = (
@@ -267,7 +266,7 @@ def transition_counts(c: Campus) -> DataFrame:
     return dynamics.transition_counts(paths(c))
 
 
-@query(f"{SQL_PATHS} SELECT *, {r('count / row_total', 6)} AS rate FROM rates")
+@query(f"{SQL_PATHS} SELECT *, {r6('count / row_total')} AS rate FROM rates")
 def transition_rates(c: Campus) -> DataFrame:
     return rounded(dynamics.transition_rates(transition_counts(c)), "rate")
 
@@ -282,12 +281,12 @@ def term_cluster_counts(c: Campus) -> DataFrame:
     return dynamics.term_cluster_counts(named_terms(c))
 
 
-@query(f"{SQL_PATHS} SELECT count(*) AS transitions, {r('coalesce(avg(CASE WHEN from_cluster = to_cluster THEN 1 ELSE 0 END), 0)', 6)} AS same_cluster_rate FROM paths")
+@query(f"{SQL_PATHS} SELECT count(*) AS transitions, {r6('coalesce(avg(CASE WHEN from_cluster = to_cluster THEN 1 ELSE 0 END), 0)')} AS same_cluster_rate FROM paths")
 def stay_rate(c: Campus) -> DataFrame:
     return rounded(dynamics.stay_rate(paths(c)), "same_cluster_rate")
 
 
-@query(f"{SQL_PATHS} SELECT *, {r('count / row_total', 6)} AS rate FROM rates ORDER BY count DESC, {_PATH} LIMIT 10")
+@query(f"{SQL_PATHS} SELECT *, {r6('count / row_total')} AS rate FROM rates ORDER BY count DESC, {_PATH} LIMIT 10")
 def top_transitions(c: Campus) -> DataFrame:
     return dynamics.top_transitions(transition_rates(c))
 

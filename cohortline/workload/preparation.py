@@ -19,7 +19,7 @@ from cohortline.sources.schemas import (
     NUMERIC_FEATURES,
     SIGNED_LOG_FEATURES,
 )
-from cohortline.workload.campus import POOL_YEARS, SPLIT_YEARS, SQL_BASE, Campus, r
+from cohortline.workload.campus import POOL_YEARS, SPLIT_YEARS, SQL_BASE, TIE_SHIFT, Campus, r6
 from cohortline.workload.registry import query
 
 IDS = ", ".join(ID_COLUMNS)
@@ -57,8 +57,8 @@ def pool(c: Campus) -> DataFrame:
     return features.pool(feature_table(c), POOL_YEARS)
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: half_even(F.col(c), digits) for c in columns})
+def rounded(df: DataFrame, *columns: str, shift: float = TIE_SHIFT) -> DataFrame:
+    return df.withColumns({c: half_even(F.col(c) + F.lit(shift), 6) for c in columns})
 
 
 @query(f"{SQL_FEATURES} SELECT {', '.join(SELECTED)} FROM features")
@@ -95,12 +95,12 @@ def _per_column(template: str, columns: tuple[str, ...], table: str) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS feature, {template.format(c=c)} FROM {table}" for c in columns)
 
 
-@query(f"{SQL_FEATURES} {_per_column(f'count({{c}}) AS n, {r("median({c})", 6)} AS median', NUMERIC_FEATURES, 'pool')}")
+@query(f"{SQL_FEATURES} {_per_column(f'count({{c}}) AS n, {r6("median({c})")} AS median', NUMERIC_FEATURES, 'pool')}")
 def column_medians(c: Campus) -> DataFrame:
     return rounded(features.column_medians(pool(c)), "median")
 
 
-_STATS = f"count({{c}}) AS n, {r('avg({c})', 6)} AS mean, {r('stddev_pop({c})', 6)} AS std"
+_STATS = f"count({{c}}) AS n, {r6('avg({c})')} AS mean, {r6('stddev_pop({c})')} AS std"
 
 
 @query(f"{SQL_FEATURES} {_per_column(_STATS, NUMERIC_FEATURES, 'pool')}")
@@ -132,7 +132,7 @@ def _encoded_number(c: str) -> str:
         filled = f"CASE WHEN {filled} IS NOT NULL THEN ln(1 + greatest({filled}, 0)) END"
     elif c in SIGNED_LOG_FEATURES:
         filled = f"sign({filled}) * ln(1 + abs({filled}))"
-    return f"{r(filled, 6)} AS {c}"
+    return f"{r6(filled)} AS {c}"
 
 
 _CODE_COLUMNS = ", ".join(
@@ -150,7 +150,7 @@ def encode_features(c: Campus) -> DataFrame:
 
 
 _SCALED = ", ".join(
-    f"{r(f'({c} - (SELECT avg({c}) FROM pool)) / coalesce(nullif((SELECT stddev_pop({c}) FROM pool), 0), 1)', 6)} AS {c}"
+    f"{r6(f'({c} - (SELECT avg({c}) FROM pool)) / coalesce(nullif((SELECT stddev_pop({c}) FROM pool), 0), 1)')} AS {c}"
     for c in NUMERIC_FEATURES
 )
 
@@ -195,7 +195,7 @@ def _draw(name: str, i: int) -> str:
 
 def _masked(i: int, c: str) -> str:
     normal = f"sqrt(-2.0::DOUBLE * ln({_draw('radius', i)})) * cos(2.0::DOUBLE * {math.pi!r}::DOUBLE * {_draw('angle', i)})"
-    return f"{r(f'CASE WHEN {_draw("mask", i)} < 0.25 THEN 0.0::DOUBLE ELSE {c} END + {normal} * 0.05::DOUBLE', 6)} AS {c}"
+    return f"{r6(f'CASE WHEN {_draw("mask", i)} < 0.25 THEN 0.0::DOUBLE ELSE {c} END + {normal} * 0.05::DOUBLE')} AS {c}"
 
 
 @query(f"{SQL_FEATURES} SELECT {IDS}, {', '.join(_masked(i, c) for i, c in enumerate(NOISY))} FROM pool")

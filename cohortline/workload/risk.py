@@ -45,7 +45,7 @@ def with_clusters(c: Campus) -> DataFrame:
         (F.col("avg_score") / 8).alias("embedding_distance_to_center"),
     )
     joined = models.with_clusters(c.base.select(*TERM_KEYS), models.cluster_source(assigned, TERM_KEYS), TERM_KEYS)
-    return rounded(joined, "embedding_distance_to_center")
+    return rounded(joined, "embedding_distance_to_center", shift=0.0)
 
 
 @query(f"""{SQL_BOTH}
@@ -69,7 +69,7 @@ SQL_DOCUMENTS = """WITH scored AS (
 
 @query(f"{SQL_DOCUMENTS} SELECT count(label) AS n, CAST(sum(label) AS BIGINT) AS positives, {r('avg(label)', 6)} AS positive_rate FROM scored")
 def label_balance(c: Campus) -> DataFrame:
-    return rounded(metrics.label_balance(c.scored_documents), "positive_rate")
+    return rounded(metrics.label_balance(c.scored_documents), "positive_rate", shift=0.0)
 
 
 _CELLS = """count(*) FILTER (WHERE label = 0 AND pred_proba < 0.5) AS tn, count(*) FILTER (WHERE label = 0 AND pred_proba >= 0.5) AS fp,
@@ -113,12 +113,12 @@ areas AS (
 
 @query(f"{SQL_DOCUMENTS}, {_sql_curve('')} SELECT roc_auc FROM areas")
 def roc_auc(c: Campus) -> DataFrame:
-    return rounded(metrics.roc_auc(metrics.score_curve(c.scored_documents)), "roc_auc")
+    return rounded(metrics.roc_auc(metrics.score_curve(c.scored_documents)), "roc_auc", shift=0.0)
 
 
 @query(f"{SQL_DOCUMENTS}, {_sql_curve('')} SELECT pr_auc FROM areas")
 def average_precision(c: Campus) -> DataFrame:
-    return rounded(metrics.average_precision(metrics.score_curve(c.scored_documents)), "pr_auc")
+    return rounded(metrics.average_precision(metrics.score_curve(c.scored_documents)), "pr_auc", shift=0.0)
 
 
 SQL_EVALUATED = f"""{SQL_SCORED}, {SQL_CELLS}, {_sql_curve("model")},
@@ -188,7 +188,7 @@ def boosted_trees(c: Campus) -> DataFrame:
 @query()
 def top_features(c: Campus) -> DataFrame:
     model, prepared, train, _ = trained(c, models.logistic_regression)
-    return rounded(models.top_features(model, prepared, train), "importance")
+    return rounded(models.top_features(model, prepared, train), "importance", shift=0.0)
 
 
 @query()
