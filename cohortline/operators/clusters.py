@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cohortline.functions import fill_unknown
 from cohortline.operators.ordering import exact_quantiles, one_quantile
 from cohortline.operators.vectors import (
+    MAX_CENTRES,
     VectorScale,
     _distances,
     blockwise,
@@ -145,7 +146,9 @@ def silhouette(
         )
         return rows.agg(F.count("*").alias("n"), F.lit(float(value)).alias("silhouette"))
 
-    sizes = {r["cluster"]: r["student_count"] for r in cluster_sizes(rows).collect()}  # one entry per cluster
+    sizes = {r["cluster"]: r["student_count"] for r in cluster_sizes(rows).limit(MAX_CENTRES + 1).collect()}
+    if len(sizes) > MAX_CENTRES:
+        raise ValueError(f"more than {MAX_CENTRES} clusters")
     ids = sorted(sizes)
     names = [f"s{i}" for i in range(len(ids))]
 

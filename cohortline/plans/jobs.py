@@ -50,9 +50,13 @@ def sources_of(raw: Mapping[str, DataFrame], layout: Sequence[tuple[str, str, di
 
 
 def identity_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Master, accounts and bridge from the raw tables (each with an ordinal column)."""
-    master = identity.student_master(sources_of(raw, MASTER_SOURCES))
-    accounts = identity.resolve_accounts(identity.account_master(raw["online_learning"], "online_learning"), master)
+    """Master, accounts and bridge from the raw tables (each with an ordinal column).
+
+    The master is met five times and the accounts twice, so both are written once before the bridge.
+    """
+    master = cut_lineage(identity.student_master(sources_of(raw, MASTER_SOURCES)))
+    found = identity.account_master(raw["online_learning"], "online_learning")
+    accounts = cut_lineage(identity.resolve_accounts(found, master))
     bridge = identity.key_bridge(
         identity.identity_bridge(master),
         identity.filtered_bridge(raw["competition"], master, "competition", "XHHGH"),
@@ -201,7 +205,7 @@ def risk_tables(
     wide = models.with_clusters(
         models.with_embeddings(rows, embeddings, zero_dims=dims), models.cluster_source(assigned_terms)
     )
-    split = features.require_splits(features.year_split(wide, years), list(years))
+    split = features.require_splits(cut_lineage(features.year_split(wide, years)), list(years))
     train, test = (split.where(F.col("split") == name) for name in ("train", "test"))
     predictions = models.grid_predictions(train, test, **grid)
     return {"predictions": predictions, "metrics": models.evaluate(predictions, by=["feature_set", "model"])}

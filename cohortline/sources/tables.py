@@ -100,7 +100,13 @@ def write_table(
     sort_by: Sequence[str] = (),
     fmt: str = "parquet",
 ) -> None:
-    """Overwrite a table. Rows are sorted inside each file, never gathered into one task."""
+    """Overwrite a table. Rows are sorted inside each file, never gathered into one task.
+
+    For a partitioned table the rows are rebalanced by partition first: without that every task writes a
+    small file into every partition. Adaptive execution splits a partition that holds most of the rows.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
     writer = df.write.mode("overwrite")
