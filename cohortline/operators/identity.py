@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.functions import first_non_blank, non_blank, normalize_id, normalize_text, org_key
+from cohortline.functions import non_blank, normalize_id, normalize_text, org_key
 from cohortline.operators.facts import role_filter
 from cohortline.sources.reports import distinct_values
 from cohortline.sources.schemas import KEY_BRIDGE_COLUMNS
