@@ -71,17 +71,18 @@ def score_facts(
     credit: str = "XF",
     resit: str = "CXBKBZ",
 ) -> DataFrame:
-    term = term_of_plan(F.col(plan))
     rows = raw.select(
         normalize_id(F.col(student)).alias("student_id"),
-        term["school_year"].alias("school_year"),
-        term["semester"].alias("semester"),
+        F.col(plan).alias("plan"),
         number_of(raw, score).alias("score"),
         number_of(raw, gpa).alias("gpa"),
         number_of(raw, credit).alias("credit"),
         F.col(resit).alias("resit"),
+    ).dropna(subset=["student_id"])
+    termed = evaluate_once(rows, "term", term_of_plan(F.col("plan"))).select(
+        "student_id", "term.school_year", "term.semester", "score", "gpa", "credit", "resit"
     )
-    return rows.dropna(subset=list(TERM_KEY))
+    return termed.dropna(subset=["school_year", "semester"])
 
 
 def usage_facts(
