@@ -95,3 +95,79 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     roots = pairs.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def map_sorted_groups(df: DataFrame, key: str, ddl: str, work: Callable[[pa.Table], list | None]) -> DataFrame:
+    """Rows of a long ``key`` together, one call per key, many small groups per Arrow batch. The caller bounds the groups.
+
+    Cheaper than a Python call with a frame of its own per group: partitions are sorted by key and cut where it changes.
+    """
+    import numpy as np
+
+    names = [f.name for f in fields(ddl)]
+
+    def run(batches):
+        rest: list[pa.RecordBatch] = []
+        out: list[list] = []
+
+        def flush():
+            whole = [pa.concat_arrays([pa.array(o[i]) if not isinstance(o[i], pa.Array) else o[i] for o in out]) for i in range(len(names))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(whole, names=names)
+
+        def take(part: pa.Table):
+            done = work(part)
+            if done is not None and len(done[0]):
+                out.append(done)
+
+        for batch in batches:
+            keys = batch.column(key).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(keys)) + 1
+            if rest and len(keys) and rest[-1].column(key)[-1].as_py() != keys[0]:
+                take(pa.Table.from_batches(rest))
+                rest = []
+            begin = 0
+            for end in cuts.tolist():
+                piece = batch.slice(begin, end - begin)
+                take(pa.Table.from_batches([*rest, piece]))
+                rest = []
+                begin = end
+                if len(out) >= 2000:
+                    yield flush()
+            if len(keys):
+                rest.append(batch.slice(begin))
+        if rest:
+            take(pa.Table.from_batches(rest))
+        if out:
+            yield flush()
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, ddl)
+
+
+def tiled(members: DataFrame, group: str, size: str, limit: int, node: str = "node") -> DataFrame:
+    """Cut groups into tiles of about ``limit`` members so that every pair of members meets in exactly one pair of tiles.
+
+    Adds ``tile_pair`` (a long key) and ``side``: 0 and 1 in a pair of two tiles, 2 if the tile meets itself. A group
+    of n members sends each of them to n / limit pairs; no task ever holds more than two tiles.
+    """
+    count = F.ceil(F.col(size) / limit).cast("int")
+    own = F.pmod(F.xxhash64(node), F.greatest(count, F.lit(1))).cast("int")
+    dealt = members.withColumns({"_n": count, "_t": own}).withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    side = F.when(F.col("_t") == F.col("_u"), 2).when(F.col("_t") < F.col("_u"), 0).otherwise(1)
+    pair = F.xxhash64(group, F.least("_t", "_u"), F.greatest("_t", "_u"))
+    return dealt.withColumns({"tile_pair": pair, "side": side}).drop("_n", "_t", "_u")
+
+
+def star_roots(nodes, left, right):
+    """Smallest node reachable from each position by the given links (arrays of positions)."""
+    import numpy as np
+
+    label = np.asarray(nodes).copy()
+    while len(left):
+        low = np.minimum(label[left], label[right])
+        before = label.copy()
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        if (before == label).all():
+            break
+    return label

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import decontamination, mixing, sharding, substring_dedup, warc_store
+from cohortline.llm import decontamination, jaccard_join, mixing, sharding, substring_dedup, warc_store
 from cohortline.llm.frames import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,29 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+@query(
+    f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT * FROM d WHERE len(w) > 0) x, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 5 * c >= 4 * (p.n + q.n - c)
+),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
+SELECT doc_id, (SELECT min(y) FROM reach WHERE reach.x = doc_id) AS class_id, (SELECT count(*) FROM link WHERE link.x = doc_id) AS n_links,
+  (SELECT min(y) FROM reach WHERE reach.x = doc_id) = doc_id AS kept
+FROM d
+"""
+)
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", (F.col("id") == F.col("class_id")).alias("kept"))
+
+
 _BASE32_SQL = "concat(" + ", ".join(
     "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((v // {}) % 32 AS INTEGER), 1)".format(32**k).replace("v ", f"CAST('0x' || substr(h, {1 + 5 * i}, 5) AS BIGINT) ")
     for i in range(8) for k in (3, 2, 1, 0)
