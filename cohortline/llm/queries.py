@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import decontamination, jaccard_join, mixing, sharding, substring_dedup, warc_store
+from cohortline.llm import decontamination, embedding_forest, jaccard_join, mixing, sharding, substring_dedup, warc_store
 from cohortline.llm.frames import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,27 @@ def op4_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query(
+    """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0
+),
+link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
+SELECT vec_id, (SELECT count(*) FROM link WHERE link.x = vec_id) AS n_links, (SELECT min(y) FROM reach WHERE reach.x = vec_id) AS component_id,
+  (SELECT min(y) FROM reach WHERE reach.x = vec_id) = vec_id AS kept
+FROM embeddings
+"""
+)
+def op6_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op7_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = mixing.mix_units(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
