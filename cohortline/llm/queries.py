@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import decontamination, embedding_forest, jaccard_join, mixing, sharding, substring_dedup, warc_store
+from cohortline.llm import decontamination, embedding_forest, jaccard_join, mixing, sharding, substring_dedup, toxicity, warc_store
 from cohortline.llm.frames import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+@query()
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.classified(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "p_low_quality", "p_toxic", "toxic")
+
+
 @query(
     f"""
 WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
