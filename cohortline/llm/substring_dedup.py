@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from cohortline.llm.frames import append_columns, without
 from cohortline.llm.text import VISIBLE, Chunk, Runs, chunks, mix, raw_text, signed, window_starts
+from cohortline.session import cut_lineage
 
 WINDOW = 35
 GRAM = 12
@@ -121,7 +122,7 @@ def find_repeats(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str
     blocks = _blocks(rows, window, gram)
 
     index = blocks.groupBy("h1").agg(F.count("*").alias("n1"), F.min("h2").alias("low"), F.max("h2").alias("high")).where("n1 > 1")
-    known = blocks.join(index.select("h1", (F.col("low") != F.col("high")).alias("mixed")), "h1")
+    known = cut_lineage(blocks.join(index.select("h1", (F.col("low") != F.col("high")).alias("mixed")), "h1"))
     # Anchors whose blocks are all equal are settled. Of the others, the blocks that repeat as a whole are, too; one of each
     # goes on to the boundary check together with those that occur once.
     mixed = known.where("mixed")
@@ -131,9 +132,11 @@ def find_repeats(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str
     )
     settled = known.where(~F.col("mixed")).select("key", "first", "n", F.lit(True).alias("same"), F.lit(False).alias("check"))
     block = F.struct("first", "n")
-    found = settled.union(told).groupBy("key").agg(F.collect_set(F.when(F.col("same"), block)).alias("same"), F.collect_set(F.when(F.col("check"), block)).alias("check"))
+    found = cut_lineage(
+        settled.union(told).groupBy("key").agg(F.collect_set(F.when(F.col("same"), block)).alias("same"), F.collect_set(F.when(F.col("check"), block)).alias("check"))
+    )
 
-    windows = _boundary_windows(rows.join(found.where(F.size("check") > 0).select("key", "check"), "key"), window)
+    windows = cut_lineage(_boundary_windows(rows.join(found.where(F.size("check") > 0).select("key", "check"), "key"), window))
     repeated = windows.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
     edges = windows.join(repeated, "hash").groupBy("key").agg(F.collect_set("pos").alias("_repeated"))
 
