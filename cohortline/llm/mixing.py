@@ -130,12 +130,13 @@ def _settle(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def cube_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Settle ``pi`` of ``units(stratum, key1, key2, copy, size, pi)`` to 0 or 1, balanced within every stratum."""
-    settled, open_ = [], units
+    """Settle ``pi`` of ``units(stratum, n_docs, key1, key2, copy, size, pi)`` to 0 or 1, balanced within every stratum.
+
+    ``n_docs`` is the size of the stratum; it deals out the first blocks without another shuffle by stratum.
+    """
+    settled, open_ = [], units.withColumn("blocks", F.ceil(F.col("n_docs") / block)).drop("n_docs")
     while True:
-        counts = open_.groupBy("stratum").agg(F.ceil(F.count("*") / block).alias("blocks"))
-        # Strata are few beside their units; Spark broadcasts the counts only if it measures them as small.
-        dealt = open_.join(counts, "stratum").withColumn("_block", F.pmod(F.xxhash64("key1", "key2", "copy", "blocks"), F.col("blocks")))
+        dealt = open_.withColumn("_block", F.pmod(F.xxhash64("key1", "key2", "copy", "blocks"), F.col("blocks")))
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.drop("blocks").schema.fields)
         done = cut_lineage(dealt.groupBy("stratum", "_block").applyInPandas(_settle, schema).drop("_block"))
         fraction = (F.col("pi") > 0) & (F.col("pi") < 1)
@@ -143,6 +144,8 @@ def cube_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
         open_ = done.where(fraction)
         if open_.isEmpty():
             break
+        # What is left is a few units per block.
+        open_ = open_.join(open_.groupBy("stratum").agg(F.ceil(F.count("*") / block).alias("blocks")), "stratum")
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
@@ -168,7 +171,7 @@ def mix_units(docs: DataFrame, text: str = "text", share: float = 1.5, cap: floa
     wanted = wanted.withColumns({"whole": F.floor(times), "pi": times - F.floor(times)}).withColumn(
         "stratum", F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit("")))
     )
-    drawn = cube_sample(wanted.drop("n_docs"), block)
+    drawn = cube_sample(wanted, block)
     return drawn.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("pi")).cast("long").alias("copies"), "key1", "key2", "copy")
 
 
