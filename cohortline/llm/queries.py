@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import decontamination, embedding_forest, jaccard_join, mixing, sharding, substring_dedup, toxicity, warc_store
+from cohortline.llm import decontamination, embedding_forest, jaccard_join, line_dedup, mixing, sharding, substring_dedup, toxicity, warc_store
 from cohortline.llm.frames import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,13 @@ def op7_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query()
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.deduplicate_lines(docs, with_text=False)
+    return found.select("doc_id", "n_lines", "n_removed", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"))
+
+
 @query()
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
