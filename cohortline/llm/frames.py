@@ -158,6 +158,45 @@ def tiled(members: DataFrame, group: str, size: str, limit: int, node: str = "no
     return dealt.withColumns({"tile_pair": pair, "side": side}).drop("_n", "_t", "_u")
 
 
+def marked_around(members: DataFrame, group: str, payload: str, near: Callable) -> DataFrame:
+    """``(group, node, pivot, near)``: which members of a large group are near its smallest node.
+
+    ``near`` gets the payloads of members and pivots (lists of bytes) and returns booleans. The pivot of a group is one
+    row, so a group of any size is a join that Spark can split, and linear work.
+    """
+    lowest = members.groupBy(group).agg(F.min("node").alias("pivot"))
+    pivots = members.select(group, F.col("node").alias("pivot"), F.col(payload).alias("_pivot")).join(lowest, [group, "pivot"])
+
+    def run(batches):
+        for batch in batches:
+            flags = near(batch.column(payload).to_pylist(), batch.column("_pivot").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (group, "node", "pivot")), pa.array(flags)], names=[group, "node", "pivot", "near"])
+
+    both = members.select(group, "node", payload).join(pivots, group)
+    return both.mapInArrow(run, f"{group} long, node long, pivot long, near boolean")
+
+
+def tiled_around(marked: DataFrame, group: str, limit: int) -> DataFrame:
+    """As ``tiled``, without the pairs of two members that are both near the pivot: what the caller knows of them
+    already. Members near the pivot are sent to the tiles of the others only, which are few where a group is dense."""
+    counts = marked.groupBy(group).agg(F.count(F.when(F.col("near"), 1)).alias("_a"), F.count(F.when(~F.col("near"), 1)).alias("_r"))
+    tiles = counts.where("_r > 0").select(group, F.ceil(F.col("_a") / limit).cast("int").alias("_a"), F.ceil(F.col("_r") / limit).cast("int").alias("_r"))
+    dealt = marked.join(tiles, group).withColumn("_t", F.pmod(F.xxhash64("node"), F.when(F.col("near"), F.col("_a")).otherwise(F.col("_r"))).cast("int"))
+
+    def pair(kind: int, low: Column, high: Column, side: Column) -> Column:
+        return F.struct(F.xxhash64(group, F.lit(kind), low, high).alias("tile_pair"), side.cast("int").alias("side"))
+
+    t = F.col("_t")
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda u: u < n)
+    rest = F.transform(
+        upto(F.col("_r")), lambda u: pair(0, F.least(t, u), F.greatest(t, u), F.when(t == u, 2).when(t < u, 0).otherwise(1))
+    )
+    across = F.transform(upto(F.col("_a")), lambda u: pair(1, t, u, F.lit(0)))
+    dense = F.transform(upto(F.col("_r")), lambda u: pair(1, u, t, F.lit(1)))
+    goals = F.when(F.col("near"), dense).otherwise(F.concat(rest, across))
+    return dealt.select(group, "node", F.explode(goals).alias("_g")).select(group, "node", "_g.tile_pair", "_g.side")
+
+
 def star_roots(nodes, left, right):
     """Smallest node reachable from each position by the given links (arrays of positions)."""
     import numpy as np

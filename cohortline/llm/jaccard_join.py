@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortline.llm.frames import components, map_sorted_groups, star_roots, tiled, without
+from cohortline.llm.frames import components, map_sorted_groups, marked_around, star_roots, tiled, tiled_around, without
 from cohortline.llm.text import ALNUM, Chunk, Runs, chunks, mix, signed
 from cohortline.session import cut_lineage
 
@@ -162,8 +162,17 @@ def candidate_links(buckets: DataFrame, sets: DataFrame, similarity: float, leaf
         linked = root != nodes
         return [nodes[linked], root[linked]]
 
-    dealt = tiled(buckets, "path", "size", leaf).select("tile_pair", "side", "node").join(sets, "node")
-    return map_sorted_groups(dealt, "tile_pair", "a long, b long", work)
+    def near(members: list[bytes], pivots: list[bytes]) -> np.ndarray:
+        a, b = (np.frombuffer(b"".join(x), np.uint32).reshape(-1, TOKENS) for x in (members, pivots))
+        return (a == b).sum(1) >= floor
+
+    # In a large bucket, members near its pivot are linked through it; only the others meet everyone.
+    large = buckets.where(F.col("size") > leaf).select("path", "node")
+    marked = cut_lineage(marked_around(large.join(sets, "node"), "path", "sig", near))
+    through = marked.where("near AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    small = tiled(buckets.where(F.col("size") <= leaf), "path", "size", leaf).select("tile_pair", "side", "node")
+    dealt = small.union(tiled_around(marked, "path", leaf).select("tile_pair", "side", "node"))
+    return map_sorted_groups(dealt.join(sets, "node"), "tile_pair", "a long, b long", work).union(through)
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
@@ -203,7 +212,12 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
 
 
 def verified_links(members: DataFrame, similarity: float, leaf: int = LEAF) -> DataFrame:
-    """``node``, ``links`` (weight of its similar sets in this pair of tiles) and ``root`` (smallest set reached)."""
+    """``node``, ``links`` (weight of its similar sets, in parts) and ``root`` (smallest set reached) over
+    ``members(component, size, node, weight, shingles)``.
+
+    Jaccard distance is a metric: two members of a large group that are both within half the allowed distance of its
+    pivot are similar, and are counted without being compared.
+    """
 
     def work(part: pa.Table):
         left, right = _pairs(part.column("side").to_numpy())
@@ -225,8 +239,24 @@ def verified_links(members: DataFrame, similarity: float, leaf: int = LEAF) -> D
         rows, cols = np.nonzero(similar)
         return [nodes, links, star_roots(nodes, left[rows], right[cols])]
 
-    dealt = tiled(members, "component", "size", leaf).select("tile_pair", "side", "node", "weight", "shingles")
-    return map_sorted_groups(dealt, "tile_pair", "node long, links long, root long", work)
+    def near(sets: list[bytes], pivots: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(sets), bool)
+        for i, (x, y) in enumerate(zip(sets, pivots)):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True)) if x != y else len(a)
+            out[i] = both >= (1 + similarity) / 2 * (len(a) + len(b) - both)
+        return out
+
+    members = cut_lineage(members)
+    large = members.where(F.col("size") > leaf)
+    marked = cut_lineage(marked_around(large, "component", "shingles", near))
+    weighed = marked.where("near").join(members.select("node", "weight"), "node")
+    dense = weighed.groupBy("component").agg(F.sum("weight").alias("total"))
+    inside = weighed.join(dense, "component").select("node", (F.col("total") - F.col("weight")).alias("links"), F.col("pivot").alias("root"))
+    small = tiled(members.where(F.col("size") <= leaf), "component", "size", leaf).select("tile_pair", "side", "node")
+    pairs = small.union(tiled_around(marked, "component", leaf).select("tile_pair", "side", "node"))
+    dealt = pairs.join(members.select("node", "weight", "shingles"), "node")
+    return map_sorted_groups(dealt, "tile_pair", "node long, links long, root long", work).union(inside)
 
 
 def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = 0.8, recall: float = 0.9999) -> DataFrame:
