@@ -73,14 +73,14 @@ def _blocks(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "key long, first int, n int, h1 long, h2 long")
 
 
-def _boundary_windows(matched: DataFrame, window: int) -> DataFrame:
-    """``key``, ``pos``, ``hash`` of every window in the blocks of ``check`` (flat pairs of first and n)."""
+def _boundary_windows(matched: DataFrame, text: str, window: int) -> DataFrame:
+    """``key``, ``pos``, ``hash`` of every window in the blocks of ``_check``, from rows with ``_key`` and ``text``."""
 
     def run(batches):
         for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            wanted = batch.column("check").to_pylist()
-            for chunk in chunks(batch.column("text"), VISIBLE):
+            keys = batch.column("_key").to_numpy(zero_copy_only=False)
+            wanted = batch.column("_check").to_pylist()
+            for chunk in chunks(batch.column(text), VISIBLE):
                 runs = Runs(chunk.word_hashes())
                 rows, at = [], []
                 for r in range(chunk.rows):
@@ -95,7 +95,7 @@ def _boundary_windows(matched: DataFrame, window: int) -> DataFrame:
                     [pa.array(keys[chunk.first + row]), pa.array(pos.astype(np.int32)), pa.array(signed(runs.of(start, start + window)))], names=["key", "pos", "hash"]
                 )
 
-    return matched.select("key", "text", "check").mapInArrow(run, "key long, pos int, hash long")
+    return matched.mapInArrow(run, "key long, pos int, hash long")
 
 
 def _factors(blocks: list[dict] | None, windows: list[int] | None, window: int) -> list[tuple[int, int]]:
@@ -136,12 +136,15 @@ def find_repeats(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str
         settled.union(told).groupBy("key").agg(F.collect_set(F.when(F.col("same"), block)).alias("same"), F.collect_set(F.when(F.col("check"), block)).alias("check"))
     )
 
-    windows = cut_lineage(_boundary_windows(rows.join(found.where(F.size("check") > 0).select("key", "check"), "key"), window))
+    # The one exchange of texts: the boundary check and the parse below read it (all columns pass, so both see the same).
+    dealt = keyed.repartition("_key")
+    marks = found.select(F.col("key").alias("_key"), F.col("same").alias("_same"), F.col("check").alias("_check"))
+    windows = _boundary_windows(dealt.join(marks.where(F.size("_check") > 0).select("_key", "_check"), "_key"), text, window)
     repeated = windows.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
     edges = windows.join(repeated, "hash").groupBy("key").agg(F.collect_set("pos").alias("_repeated"))
 
-    same = found.where(F.size("same") > 0).select(F.col("key").alias("_key"), F.col("same").alias("_same"))
-    whole_rows = keyed.join(same, "_key", "left").join(edges.withColumnRenamed("key", "_key"), "_key", "left")
+    same = marks.where(F.size("_same") > 0).select("_key", "_same")
+    whole_rows = dealt.join(same, "_key", "left").join(edges.withColumnRenamed("key", "_key"), "_key", "left")
 
     def compute(batches):
         for batch in batches:
