@@ -6,7 +6,8 @@ sigma = sqrt((2 - 2c) / dimension); with a spill of half a sigma on either side
 a hundred cases, a tree of ten levels in a fifth, and six trees in less than one of ten thousand.
 
 Medians come from a bounded hash sample of each bucket (``SAMPLE`` rows); every row is routed. A split is given up where
-the spill would hold most rows; such buckets, and those that do not shrink, are dense and are compared as they are, cut into
+the spill would hold more than ``DENSE`` of the rows (an eighth is usual); such buckets, and those that do not shrink, are
+dense and are compared as they are: members near the bucket's pivot are linked through it, only the others meet everyone, in
 tiles, so no task holds more than two tiles. Comparing within leaves gives at most one verified link per member. All pairs
 inside a component are then counted in double precision, so counts do not depend on how often the trees met a pair.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.frames import components, map_sorted_groups, star_roots, tiled
+from cohortline.llm.frames import components, map_sorted_groups, marked_around, star_roots, tiled, tiled_around
 from cohortline.session import cut_lineage
 
 TREES = 6
@@ -32,7 +33,7 @@ LEAF = 256
 SAMPLE = 1024
 LEVELS = 6
 SPILL = 0.5
-DENSE = 0.6
+DENSE = 0.3
 
 
 def _prepare(vectors: DataFrame) -> DataFrame:
@@ -190,6 +191,20 @@ def _compare(part: pa.Table, similarity: float, kind):
     return nodes, left, right, similar
 
 
+def _near(floor: float, kind):
+    def near(members: list[bytes], pivots: list[bytes]) -> np.ndarray:
+        # All members of a bucket or component have the length of its pivot; those of a batch may differ.
+        out = np.zeros(len(members), bool)
+        sizes = np.array([len(m) for m in members])
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            x, y = (_unit(np.frombuffer(b"".join(side[i] for i in at), kind).reshape(len(at), -1).astype(np.float64)) for side in (members, pivots))
+            out[at] = (x * y).sum(1) >= floor
+        return out
+
+    return near
+
+
 def leaf_links(leaves: DataFrame, nodes: DataFrame, similarity: float, leaf: int = LEAF, kind=np.float32) -> DataFrame:
     """Verified links ``(a, b)``, at most one per member and tile pair."""
 
@@ -203,12 +218,21 @@ def leaf_links(leaves: DataFrame, nodes: DataFrame, similarity: float, leaf: int
         linked = root != names
         return [names[linked], root[linked]]
 
-    dealt = tiled(leaves, "path", "size", leaf).select("tile_pair", "side", "node").join(nodes.select("node", "vec"), "node")
-    return map_sorted_groups(dealt, "tile_pair", "a long, b long", work)
+    nodes = nodes.select("node", "vec")
+    large = leaves.where(F.col("size") > 2 * leaf).select("path", "node").join(nodes, "node")
+    marked = cut_lineage(marked_around(large, "path", "vec", _near(similarity, kind)))
+    through = marked.where("near AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    small = tiled(leaves.where(F.col("size") <= 2 * leaf), "path", "size", 2 * leaf).select("tile_pair", "side", "node")
+    dealt = small.union(tiled_around(marked, "path", 2 * leaf).select("tile_pair", "side", "node")).join(nodes, "node")
+    return map_sorted_groups(dealt, "tile_pair", "a long, b long", work).union(through)
 
 
 def counted_links(members: DataFrame, similarity: float, leaf: int = LEAF, kind=np.float32) -> DataFrame:
-    """``node`` and ``links`` over ``members(component, size, node, weight, vec)``."""
+    """``node`` and ``links`` over ``members(component, size, node, weight, vec)``.
+
+    Angles are a metric: two members of a large component that are both within half the allowed angle of its pivot are
+    linked, and are counted without being compared.
+    """
 
     def work(part: pa.Table):
         found = _compare(part, similarity, kind)
@@ -222,9 +246,17 @@ def counted_links(members: DataFrame, similarity: float, leaf: int = LEAF, kind=
             links[right] += similar.T @ weight[left]
         return [names, links]
 
-    dealt = tiled(members, "component", "size", leaf).select("tile_pair", "side", "node", "weight", "vec")
-    pairs = map_sorted_groups(dealt, "tile_pair", "node long, links long", work)
-    return pairs.groupBy("node").agg(F.sum("links").alias("links"))
+    members = cut_lineage(members)
+    large = members.where(F.col("size") > 2 * leaf)
+    half = math.cos(math.acos(similarity) / 2) + 1e-9
+    marked = cut_lineage(marked_around(large, "component", "vec", _near(half, kind)))
+    weighed = marked.where("near").join(members.select("node", "weight"), "node")
+    dense = weighed.groupBy("component").agg(F.sum("weight").alias("total"))
+    inside = weighed.join(dense, "component").select("node", (F.col("total") - F.col("weight")).alias("links"))
+    small = tiled(members.where(F.col("size") <= 2 * leaf), "component", "size", 2 * leaf).select("tile_pair", "side", "node")
+    dealt = small.union(tiled_around(marked, "component", 2 * leaf).select("tile_pair", "side", "node"))
+    pairs = map_sorted_groups(dealt.join(members.select("node", "weight", "vec"), "node"), "tile_pair", "node long, links long", work)
+    return pairs.union(inside).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding", similarity: float = 0.95, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
