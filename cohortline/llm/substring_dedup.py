@@ -9,7 +9,7 @@ the anchor is known but the block differs, a factor may begin or end inside the
 is checked against all windows of the same anchor in the corpus. A factor of 35 words or more is a duplicate span.
 
 The index holds hashes and counts, combined before the shuffle, so a passage in a third of all documents is one entry;
-a document's own blocks are the only rows that are gathered. Hashes have 64 bits.
+a text's own blocks are the only rows that are gathered. Equal texts of a batch are parsed once. Hashes have 64 bits.
 
 Defined results: a NULL text has no words; a text of fewer than 35 words keeps them all; equal rows repeat each other and
 lose all words of such texts; an empty table gives no rows; input columns with the name of a result column are replaced.
@@ -55,22 +55,30 @@ class Blocks:
         return h1, mix(self.runs.of(self.first, self.last + self.window) + shape)
 
 
+def _once(batch: pa.RecordBatch, key: str) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows with different keys of a batch, and how often each occurs in it: equal texts are parsed once."""
+    _, first, times = np.unique(batch.column(key).to_numpy(), return_index=True, return_counts=True)
+    return batch.take(pa.array(first)), times
+
+
 def _blocks(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``key``, ``first`` and ``n`` (windows of the block in its document), ``h1`` (anchor), ``h2`` (whole block)."""
+    """``key``, ``first`` and ``n`` (windows of the block in its text), ``h1`` (anchor), ``h2`` (whole block) and ``times``
+    (equal texts in the batch)."""
 
     def run(batches):
         for batch in batches:
+            batch, times = _once(batch, "key")
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column("text"), VISIBLE):
                 found = Blocks(chunk, window, gram)
                 h1, h2 = found.hashes()
                 first = found.first - chunk.word_offsets[found.row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (keys[chunk.first + found.row], first.astype(np.int32), (found.last - found.first + 1).astype(np.int32), signed(h1), signed(h2))],
-                    names=["key", "first", "n", "h1", "h2"],
+                    [pa.array(x) for x in (keys[chunk.first + found.row], first.astype(np.int32), (found.last - found.first + 1).astype(np.int32), signed(h1), signed(h2), times[chunk.first + found.row])],
+                    names=["key", "first", "n", "h1", "h2", "times"],
                 )
 
-    return docs.select("key", "text").mapInArrow(run, "key long, first int, n int, h1 long, h2 long")
+    return docs.select("key", "text").mapInArrow(run, "key long, first int, n int, h1 long, h2 long, times long")
 
 
 def _boundary_windows(matched: DataFrame, text: str, window: int) -> DataFrame:
@@ -78,6 +86,7 @@ def _boundary_windows(matched: DataFrame, text: str, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            batch, _ = _once(batch, "_key")
             keys = batch.column("_key").to_numpy(zero_copy_only=False)
             wanted = batch.column("_check").to_pylist()
             for chunk in chunks(batch.column(text), VISIBLE):
@@ -113,38 +122,42 @@ def _factors(blocks: list[dict] | None, windows: list[int] | None, window: int)
 
 
 
-def find_repeats(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def find_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """All rows of ``docs`` with ``n_words``, ``n_removed``, ``spans`` (repeated stretches as word ranges, end exclusive)
     and ``kept_text`` (the other words joined by one blank)."""
     docs = without(docs, ["n_words", "n_removed", "spans", "kept_text", "_key", "_same", "_repeated"])
-    keyed = docs.withColumn("_key", F.xxhash64(*keys, text))
+    # Documents with equal texts share a key: they have the same repeats.
+    keyed = docs.withColumn("_key", F.xxhash64(text))
     rows = keyed.select(F.col("_key").alias("key"), F.col(text).alias("text"))
     blocks = _blocks(rows, window, gram)
 
-    index = blocks.groupBy("h1").agg(F.count("*").alias("n1"), F.min("h2").alias("low"), F.max("h2").alias("high")).where("n1 > 1")
-    known = cut_lineage(blocks.join(index.select("h1", (F.col("low") != F.col("high")).alias("mixed")), "h1"))
+    # Aggregates are written, or dealt anew, before they are joined to the rows: so both sides of a join are plain
+    # exchanges, of which Spark splits the parts that hold a very common passage.
+    index = blocks.groupBy("h1").agg(F.sum("times").alias("n1"), F.min("h2").alias("low"), F.max("h2").alias("high")).where("n1 > 1")
+    index = cut_lineage(index.select("h1", (F.col("low") != F.col("high")).alias("mixed")))
+    known = cut_lineage(blocks.join(index, "h1"))
     # Anchors whose blocks are all equal are settled. Of the others, the blocks that repeat as a whole are, too; one of each
     # goes on to the boundary check together with those that occur once.
     mixed = known.where("mixed")
-    whole = mixed.groupBy("h1", "h2").agg(F.count("*").alias("n2"), F.min(F.struct("key", "first")).alias("one"))
+    whole = cut_lineage(mixed.groupBy("h1", "h2").agg(F.sum("times").alias("n2"), F.min(F.struct("key", "first")).alias("one")))
     told = mixed.join(whole, ["h1", "h2"]).select(
         "key", "first", "n", (F.col("n2") > 1).alias("same"), ((F.col("n2") == 1) | (F.struct("key", "first") == F.col("one"))).alias("check")
     )
     settled = known.where(~F.col("mixed")).select("key", "first", "n", F.lit(True).alias("same"), F.lit(False).alias("check"))
     block = F.struct("first", "n")
     found = cut_lineage(
-        settled.union(told).groupBy("key").agg(F.collect_set(F.when(F.col("same"), block)).alias("same"), F.collect_set(F.when(F.col("check"), block)).alias("check"))
-    )
+        settled.union(told).groupBy("key").agg(F.collect_set(F.when(F.col("same"), block)).alias("_same"), F.collect_set(F.when(F.col("check"), block)).alias("_check"))
+    ).withColumnRenamed("key", "_key")
 
-    # The one exchange of texts: the boundary check and the parse below read it (all columns pass, so both see the same).
-    dealt = keyed.repartition("_key")
-    marks = found.select(F.col("key").alias("_key"), F.col("same").alias("_same"), F.col("check").alias("_check"))
-    windows = _boundary_windows(dealt.join(marks.where(F.size("_check") > 0).select("_key", "_check"), "_key"), text, window)
-    repeated = windows.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
+    # All columns pass through the boundary check, so its exchange of texts is the one that the parse below reads.
+    checked = keyed.join(found.where(F.size("_check") > 0).select("_key", "_check"), "_key")
+    windows = _boundary_windows(checked, text, window)
+    repeated = windows.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash").hint("rebalance")
     edges = windows.join(repeated, "hash").groupBy("key").agg(F.collect_set("pos").alias("_repeated"))
 
-    same = marks.where(F.size("_same") > 0).select("_key", "_same")
-    whole_rows = dealt.join(same, "_key", "left").join(edges.withColumnRenamed("key", "_key"), "_key", "left")
+    marks = found.where(F.size("_same") > 0).select("_key", "_same")
+    marks = marks.join(edges.withColumnRenamed("key", "_key"), "_key", "full").hint("rebalance")
+    whole_rows = keyed.join(marks, "_key", "left")
 
     def compute(batches):
         for batch in batches:
