@@ -21,9 +21,10 @@ def to_double(c: Column) -> Column:
 
 
 def number_of(df: DataFrame, name: str) -> Column:
-    """A numeric column as it is, a text column through ``to_double``: typed tables skip the parsing."""
+    """A numeric column as it is (NaN is missing), a text column through ``to_double``: typed tables skip the parsing."""
     if isinstance(df.schema[name].dataType, T.NumericType):
-        return F.col(name).cast("double")
+        number = F.col(name).cast("double")
+        return F.when(~F.isnan(number), number)
     return to_double(F.col(name))
 
 

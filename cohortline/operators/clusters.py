@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,17 +16,19 @@ from pyspark.sql import functions as F
 
 from cohortline.functions import fill_unknown
 from cohortline.operators.ordering import exact_quantiles, one_quantile
+from cohortline.operators.kmeans import best_fits
 from cohortline.operators.vectors import (
-    MAX_CENTRES,
     VectorScale,
     _distances,
     blockwise,
     center_distance,
-    centre_matrix,
+    centre_blocks,
     centroids,
     fit_scale,
     matrix_of,
+    nearest_in,
     scale_vectors,
+    usable,
 )
 from cohortline.sources.schemas import FLAG
 
@@ -36,6 +37,7 @@ K_VALUES = (2, 3, 4, 5, 6)
 MIN_CLUSTER_SHARE = 0.03
 OUTLIER_PERCENTILE = 99.5
 TOP_OUTLIERS = 50
+RESTARTS, MAX_ITERATIONS = 20, 300
 OUTLIER = -1
 
 PROFILE_MEANS = {
@@ -138,6 +140,7 @@ def silhouette(
     """
     rows = df.select(F.col(key).alias("key"), F.col(cluster).alias("cluster"), F.col(vector).alias("vector"))
     if metric == "squaredEuclidean":
+        rows = rows.where(usable("vector") & F.col("cluster").isNotNull())
         evaluator = ClusteringEvaluator(
             featuresCol="features", predictionCol="prediction", metricName="silhouette", distanceMeasure=metric
         )
@@ -146,35 +149,36 @@ def silhouette(
         )
         return rows.agg(F.count("*").alias("n"), F.lit(float(value)).alias("silhouette"))
 
-    sizes = {r["cluster"]: r["student_count"] for r in cluster_sizes(rows).limit(MAX_CENTRES + 1).collect()}
-    if len(sizes) > MAX_CENTRES:
-        raise ValueError(f"more than {MAX_CENTRES} clusters")
-    ids = sorted(sizes)
-    names = [f"s{i}" for i in range(len(ids))]
+    types = dict(rows.dtypes)
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"key": left["key"], "cluster": left["cluster"]})
-        if left.empty:
-            return out.reindex(columns=["key", "cluster", *names])
-        points = matrix_of(left["vector"])
-        for name, c in zip(names, ids, strict=True):
-            members = right.loc[right["cluster"] == c, "vector"]
-            out[name] = _distances(points, matrix_of(members)).sum(axis=1) if len(members) else 0.0
-        return out
-
-    types = dict(rows.dtypes)
-    schema = f"key {types['key']}, cluster {types['cluster']}, " + ", ".join(f"{n} double" for n in names)
-    partial = blockwise(rows, rows, "key", "key", sums, schema)
-    total = partial.groupBy("key", "cluster").agg(*[F.sum(n).alias(n) for n in names])
-    own, others = F.lit(None).cast("double"), []
-    for name, c in zip(names, ids, strict=True):
-        mine = F.col("cluster") == c
-        own = F.when(mine, F.col(name) / F.lit(max(sizes[c] - 1, 1))).otherwise(own)
-        others.append(F.when(~mine, F.col(name) / F.lit(sizes[c])))
-    alone = F.col("cluster").isin([c for c in ids if sizes[c] == 1])
-    nearest = F.least(*others) if len(others) > 1 else F.lit(None).cast("double")
-    score = F.when(alone, 0.0).otherwise((nearest - own) / F.greatest(nearest, own))
-    return total.agg(F.count("*").alias("n"), F.avg(score).alias("silhouette"))
+        """Per left row and right cluster: total distance and number."""
+        parts = [
+            pd.DataFrame(
+                {
+                    "key": left["key"], "cluster": left["cluster"], "other": c, "n": len(members),
+                    "total": _distances(matrix_of(left["vector"]), matrix_of(members)).sum(axis=1),
+                }
+            )
+            for c, members in right.groupby("cluster")["vector"]
+            if len(left)
+        ]
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["key", "cluster", "other", "n", "total"])
+
+    schema = f"key {types['key']}, cluster {types['cluster']}, other {types['cluster']}, n bigint, total double"
+    rows = rows.where(usable("vector") & F.col("cluster").isNotNull())
+    pairs = blockwise(rows, rows, "key", "key", sums, schema)
+    totals = pairs.groupBy("key", "cluster", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    mine = F.col("cluster") == F.col("other")
+    sides = totals.groupBy("key", "cluster").agg(
+        F.max(F.when(mine, F.col("n"))).alias("own_n"),
+        F.max(F.when(mine, F.col("total") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("own"),
+        F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("nearest"),
+    )
+    # A point with no distance to its own or to the nearest other cluster is on neither side.
+    score = F.try_divide(F.col("nearest") - F.col("own"), F.greatest("nearest", "own"))
+    value = F.when(F.col("nearest").isNotNull(), F.when(F.col("own_n") == 1, 0.0).otherwise(F.coalesce(score, F.lit(0.0))))
+    return sides.agg(F.count("*").alias("n"), F.avg(value).alias("silhouette"))
 
 
 @dataclass(frozen=True)
@@ -192,30 +196,30 @@ def choose_k(
     vector: str = "embedding_scaled",
     ks: Sequence[int] = K_VALUES,
     min_share: float = MIN_CLUSTER_SHARE,
-    restarts: int = 3,
+    restarts: int = RESTARTS,
+    max_iter: int = MAX_ITERATIONS,
     seed: int = 42,
-    metric: str = "euclidean",
+    metric: str = "squaredEuclidean",
     cluster: str = "cluster",
 ) -> KSearch:
     """K-means for each k, best of several starts; best silhouette among the k without a tiny cluster.
 
-    If every k leaves a tiny cluster, the best silhouette decides alone.
+    All starts of all k advance together, one pass over the rows per iteration. The silhouette is the linear one unless the
+    caller asks for ``euclidean``. If every k leaves a tiny cluster, the best silhouette decides alone.
     """
-    points = df.withColumn("_features", array_to_vector(F.col(vector))).persist()
+    points = df.select(key, vector).where(usable(vector)).persist()
     smallest_allowed = max(1, math.ceil(points.count() * min_share))
+    fits = best_fits(points, key, vector, ks, restarts, max_iter, seed)
     tried = []
-    for k in ks:
-        fits = [
-            KMeans(k=k, seed=seed + start, featuresCol="_features", predictionCol=cluster).fit(points)
-            for start in range(restarts)
-        ]
-        model = min(fits, key=lambda m: m.summary.trainingCost)
-        labelled = model.transform(points).drop("_features")
-        sizes = [s for s in model.summary.clusterSizes if s > 0]
+    for k, fit in fits.items():
+        sizes = [int(n) for n in fit.sizes if n > 0]
         if len(sizes) < 2:
             continue
+        near = nearest_in([(list(range(k)), fit.centres)], vector)
+        labelled = points.withColumn(cluster, near["id"])
         score = silhouette(labelled, key, vector, cluster, metric).first()["silhouette"]
-        tried.append((k, score, min(sizes), max(sizes), min(sizes) >= smallest_allowed, labelled))
+        tried.append((k, score, min(sizes), max(sizes), min(sizes) >= smallest_allowed, fit.centres))
+    points.unpersist()
     if not tried:
         raise ValueError("no k gave two clusters")
     best = max(tried, key=lambda t: (t[4], t[1]))
@@ -223,7 +227,8 @@ def choose_k(
         [(t[0], round(float(t[1]), 6), t[2], t[3], t[4]) for t in tried],
         "k int, silhouette_score double, min_cluster_size bigint, max_cluster_size bigint, valid_clustering boolean",
     )
-    return KSearch(best[0], best[5], table)
+    near = nearest_in([(list(range(best[0])), best[5])], vector)
+    return KSearch(best[0], df.withColumn(cluster, near["id"]), table)
 
 
 def pca_2d(df: DataFrame, vector: str = "embedding_scaled") -> DataFrame:
@@ -261,23 +266,21 @@ def assign_semesters(
     mean is the mean scaled, so no scaled copy is needed. The terms themselves are not shuffled.
     """
     scale = fit_scale(last, vector)
-    ids, raw_centres = centre_matrix(centroids(last.where(F.col(cluster) >= 0), cluster, vector), cluster)
-    centres = scale.apply(raw_centres)
-
-    @F.pandas_udf("cluster int, is_outlier int, embedding_distance_to_center double, embedding_scaled array<double>")
-    def place(batch: pd.Series) -> pd.DataFrame:
-        rows = scale.apply(matrix_of(batch))
-        distance = np.sqrt((rows * rows).sum(axis=1))
-        outlier = distance > threshold
-        nearest = ids[_distances(rows, centres).argmin(axis=1)]
-        return pd.DataFrame(
-            {
-                "cluster": np.where(outlier, OUTLIER, nearest).astype(np.int32),
-                "is_outlier": outlier.astype(np.int32),
-                "embedding_distance_to_center": distance,
-                "embedding_scaled": list(rows),
-            }
-        )
-
+    means = centroids(last.where(usable(vector) & (F.col(cluster) >= 0)), cluster, vector)
+    blocks = [(ids, scale.apply(raw)) for ids, raw in centre_blocks(means, cluster)]
     kept = [c for c in semesters.columns if c != cluster]
-    return semesters.withColumn("_placed", place(F.col(vector))).select(*kept, "_placed.*")
+    scaled = scale_vectors(semesters.select(*kept), scale, vector)
+    distance = F.col("embedding_distance_to_center")
+    placed = scaled.withColumns(
+        {
+            "embedding_distance_to_center": center_distance(np.zeros_like(scale.mean), "embedding_scaled"),
+            "_near": nearest_in(blocks, "embedding_scaled", dict(means.dtypes)[cluster]),
+        }
+    )
+    return placed.select(
+        *kept,
+        F.when(distance > threshold, OUTLIER).otherwise(F.col("_near.id")).cast("int").alias(cluster),
+        (distance > threshold).cast("int").alias("is_outlier"),
+        "embedding_distance_to_center",
+        "embedding_scaled",
+    )

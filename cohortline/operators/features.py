@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortline.functions import fill_unknown, log1p_clip, parse_ratio_pair, signed_log1p
-from cohortline.operators.ordering import exact_quantiles, key_at, running_totals
+from cohortline.operators.ordering import exact_quantiles, key_at, present, running_totals
 from cohortline.sources.schemas import (
     CATEGORICAL_FEATURES,
     FLAG,
@@ -101,9 +101,9 @@ def mean_std(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[
             F.struct(
                 F.lit(c).alias("feature"),
-                F.count(c).alias("n"),
-                F.avg(c).alias("mean"),
-                F.stddev_pop(c).alias("std"),
+                F.count(present(c)).alias("n"),
+                F.avg(present(c)).alias("mean"),
+                F.stddev_pop(present(c)).alias("std"),
             ).alias(f"_{i}")
             for i, c in enumerate(columns)
         ]
@@ -122,10 +122,12 @@ def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def category_codes(df: DataFrame, columns: Sequence[str] = CATEGORICAL_FEATURES) -> DataFrame:
-    """Zero-based code of each category in text order, per column; fit once, then join."""
-    values = _value_counts(df, columns).withColumn("one", F.lit(1))
-    ranked = running_totals(values, ["value"], ["one"], by=["feature"])
-    return ranked.select("feature", "value", F.col("one_before").cast("int").alias("code"), "n")
+    """Zero-based code of each category in text order, per column; fit once, then join.
+
+    The rows are counted first, so the window ranks different categories, not rows.
+    """
+    code = F.row_number().over(W.partitionBy("feature").orderBy("value")) - 1
+    return _value_counts(df, columns).select("feature", "value", code.cast("int").alias("code"), "n")
 
 
 def category_cardinality(
@@ -155,9 +157,7 @@ def fitted_values(stats: DataFrame, value: str) -> dict[str, float | None]:
 
 def fill_medians(df: DataFrame, medians: DataFrame, columns: Sequence[str]) -> DataFrame:
     fitted = fitted_values(medians, "median")
-    return df.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.lit(fitted[c]).cast("double")) for c in columns}
-    )
+    return df.withColumns({c: F.coalesce(present(c), F.lit(fitted[c]).cast("double")) for c in columns})
 
 
 def encode_features(
@@ -212,17 +212,17 @@ def row_digest(keys: Sequence[str], seed: int) -> Column:
 
 
 def stratified_split(
-    df: DataFrame, label: str, keys: Sequence[str], test_share: float = 0.2, seed: int = 42, digits: int = 3
+    df: DataFrame, label: str, keys: Sequence[str], test_share: float = 0.2, seed: int = 42
 ) -> DataFrame:
-    """In each class the first ``ceil(share * n)`` rows by hash are the test rows.
+    """In each class the first ``ceil(share * n)`` rows by hash are the test rows; rows without a label are a class, too.
 
-    A class may be nearly all of the table, so it is never ranked in one task: the leading hash digits
-    are counted first and each row is placed inside its own digit block.
+    A class may be nearly all of the table, so it is never ranked in one task: the hashes are ordered in blocks.
     """
-    hashed = df.withColumns({"_hash": row_digest(keys, seed), "_one": F.lit(1)})
-    sizes = hashed.groupBy(label).agg(F.ceil(F.count("*") * F.lit(float(test_share))).alias("_quota"))
-    placed = running_totals(hashed, ["_hash"], ["_one"], by=[label], block=F.substring("_hash", 1, digits))
-    return placed.join(sizes, label).select(
+    names = {"_no_class": F.col(label).isNull(), "_class": F.coalesce(F.col(label).cast("string"), F.lit(""))}
+    hashed = df.withColumns(names | {"_hash": row_digest(keys, seed), "_one": F.lit(1)})
+    sizes = hashed.groupBy(*names).agg(F.ceil(F.count("*") * F.lit(float(test_share))).alias("_quota"))
+    placed = running_totals(hashed, ["_hash"], ["_one"], by=list(names))
+    return placed.join(sizes, list(names)).select(
         *df.columns, F.when(F.col("_one_before") < F.col("_quota"), "test").otherwise("train").alias("split")
     )
 

@@ -6,6 +6,7 @@ order instead; each block sums its own rows, and the few block totals give every
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -58,44 +59,79 @@ def running_totals(
     )
 
 
+#: Rank error of the first look at a quantile, as one part in so many.
+ACCURACY = 10_000
+
+
+def present(name: str) -> Column:
+    """A number, with NaN as missing."""
+    value = F.col(name).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Exact, linearly interpolated quantiles of several columns at once.
+    """Exact, linearly interpolated quantiles of several columns at once; NaN counts as missing.
 
-    One row per column: ``feature``, ``n`` and ``q0``, ``q1``, ... in the order of ``probs``; a column
-    without values has n = 0 and NULL quantiles. The built-in ``percentile`` keeps all distinct values of a column in one buffer; this does not.
+    One row per column: ``feature``, ``n`` and ``q0``, ``q1``, ... in the order of ``probs``; a column without values has
+    n = 0 and NULL quantiles. A first pass brackets every quantile with a sketch of known rank error. A second counts what
+    lies below the bracket, and only the distinct values inside it, a few ten-thousandths of the rows, are ranked. Ties
+    are counted before the shuffle. Nothing is written, and no row moves as a whole.
     """
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    counted = (
-        doubles.unpivot([], list(columns), "feature", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("feature", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    ranked = running_totals(counted, ["value"], ["n"], by=["feature"])
-    sizes = ranked.groupBy("feature").agg(F.sum("n").alias("total"))
-    placed = ranked.join(sizes, "feature")
+    doubles = df.select(*[present(c).alias(c) for c in columns])
+    margin = 2.0 / ACCURACY
+    ends = [min(1.0, max(0.0, p + side * margin)) for p in probs for side in (-1, 1)]
+    looks = doubles.agg(
+        *[F.struct(F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).alias(f"s{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(c, ends, ACCURACY).alias(f"b{i}") for i, c in enumerate(columns)],
+    ).first()
+    session = df.sparkSession
+    features = session.createDataFrame([(c, looks[f"s{i}"]["n"]) for i, c in enumerate(columns)], "feature string, n bigint")
+    guesses = [
+        (i, j, float(p) * (looks[f"s{i}"]["n"] - 1), looks[f"b{i}"][2 * j], looks[f"b{i}"][2 * j + 1])
+        for i in range(len(columns)) if looks[f"s{i}"]["n"]
+        for j, p in enumerate(probs)
+    ]
+    if not guesses:
+        return features.select("feature", "n", *[F.lit(None).cast("double").alias(f"q{j}") for j in range(len(probs))])
+    counts = doubles.agg(
+        *[F.count_if(F.col(columns[i]) < low).alias(f"k{g}") for g, (i, _, _, low, _) in enumerate(guesses)],
+        *[F.count_if(F.col(columns[i]) <= high).alias(f"u{g}") for g, (i, _, _, _, high) in enumerate(guesses)],
+    ).first()
+    rows = []
+    for g, (i, j, place, low, high) in enumerate(guesses):
+        # Only with fewer values than ACCURACY can a bracket miss its place; the ends of the column hold it then.
+        below = counts[f"k{g}"]
+        if below > math.floor(place):
+            low, below = looks[f"s{i}"]["low"], 0
+        if counts[f"u{g}"] <= math.ceil(place):
+            high = looks[f"s{i}"]["high"]
+        rows.append((columns[i], j, below, place, low, high))
+    before = session.createDataFrame([r[:4] for r in rows], "feature string, prob int, below bigint, place double")
+    inside = doubles.select(
+        F.explode(
+            F.filter(
+                F.array(*[
+                    F.when(F.col(c).between(low, high), F.struct(F.lit(c).alias("feature"), F.lit(j).alias("prob"), F.col(c).alias("value")))
+                    for c, j, _, _, low, high in rows
+                ]),
+                lambda x: x.isNotNull(),
+            )
+        ).alias("x")
+    ).select("x.*")
+    counted = inside.groupBy("feature", "prob", "value").agg(F.count("*").alias("times"))
+    upto = F.sum("times").over(W.partitionBy("feature", "prob").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    ranked = counted.withColumn("upto", upto).join(before, ["feature", "prob"])
+    last = F.col("below") + F.col("upto")
 
     def value_at(place: Column) -> Column:
-        here = (F.col("n_before") <= place) & (place < F.col("n_before") + F.col("n"))
+        here = (last - F.col("times") <= place) & (place < last)
         return F.max(F.when(here, F.col("value")))
 
-    picks: list[Column] = []
-    for i, p in enumerate(probs):
-        place = F.lit(float(p)) * (F.col("total") - 1)
-        picks += [
-            value_at(F.floor(place)).alias(f"_lo{i}"),
-            value_at(F.ceil(place)).alias(f"_hi{i}"),
-            F.max(place - F.floor(place)).alias(f"_part{i}"),
-        ]
-    quantiles = [
-        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}")).alias(f"q{i}")
-        for i in range(len(probs))
-    ]
-    found = placed.groupBy("feature").agg(F.max("total").alias("total"), *picks)
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
-    return names.join(found, "feature", "left").select(
-        "feature", F.coalesce("total", F.lit(0)).alias("n"), *quantiles
-    )
+    part = F.max(F.col("place") - F.floor("place"))
+    low, high = value_at(F.floor("place")), value_at(F.ceil("place"))
+    found = ranked.groupBy("feature", "prob").agg((low + (high - low) * part).alias("q"))
+    wide = found.groupBy("feature").agg(*[F.max(F.when(F.col("prob") == j, F.col("q"))).alias(f"q{j}") for j in range(len(probs))])
+    return features.join(wide, "feature", "left").select("feature", "n", *[f"q{j}" for j in range(len(probs))])
 
 
 def one_quantile(df: DataFrame, column: str, prob: float) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
+    elif re.fullmatch(r"local(\[[^\]]*\])?", context.master):  # one machine; not local-cluster
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortline-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")

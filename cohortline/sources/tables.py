@@ -47,7 +47,12 @@ def match_source(columns: Iterable[str], signatures: Sequence[tuple[str, tuple[s
 
 def match_sources(tables: Iterable[DataFrame], required: Iterable[str]) -> dict[str, DataFrame]:
     """Recognise tables by their columns; a required alias that stays empty is an error."""
-    found = {match_source(df.columns): df for df in tables}
+    found: dict[str | None, DataFrame] = {}
+    for df in tables:
+        alias = match_source(df.columns)
+        if alias is not None and alias in found:
+            raise ValueError(f"two tables look like {alias}: union them first")
+        found[alias] = df
     missing = [alias for alias in required if alias not in found]
     if missing:
         raise ValueError(f"no table found for: {', '.join(missing)}")
@@ -86,11 +91,13 @@ def read_raw(
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    """Typed read of a derived table; blanks become NULL."""
+    """Typed read of a derived table; blanks and NaN become NULL."""
     reader = spark.read.schema(schema)
-    if fmt == "csv":
-        return reader.csv(path, header=True, nullValue="", emptyValue="")
-    return reader.format(fmt).load(path)
+    df = reader.csv(path, header=True, nullValue="", emptyValue="") if fmt == "csv" else reader.format(fmt).load(path)
+    real = (T.DoubleType, T.FloatType)
+    return df.select(
+        *[F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if isinstance(f.dataType, real) else F.col(f.name) for f in schema.fields]
+    )
 
 
 def write_table(

@@ -205,16 +205,12 @@ def mask_noise(c: Campus) -> DataFrame:
 
 
 def _swapped(i: int, c: str) -> str:
-    cell = f"struct_pack(v := {c})"
-    donor = f"coalesce(lead({cell}, {i + 1}) OVER w, lag({cell}, {i + 1}) OVER w, {cell})"
-    return f"CASE WHEN {_draw('swap', i)} < 0.3 THEN struct_extract({donor}, 'v') ELSE {c} END AS {c}"
+    donor = f"(SELECT d.{c} FROM ring d WHERE d.place = (r.place + 1 + {i} % (r.n - 1)) % r.n)"
+    return f"CASE WHEN {_draw('swap', i)} < 0.3 THEN {donor} ELSE {c} END AS {c}"
 
 
 @query(f"""{SQL_FEATURES},
-hashed AS (SELECT *, sha256(concat({_ROW}, '|42.order')) AS h FROM pool)
-SELECT {IDS}, {", ".join(_swapped(i, c) for i, c in enumerate(NOISY))} FROM hashed
-WINDOW w AS (PARTITION BY substr(h, 1, 1) ORDER BY h)""")
+ring AS (SELECT *, row_number() OVER (ORDER BY sha256(concat({_ROW}, '|42.order'))) - 1 AS place, count(*) OVER () AS n FROM pool)
+SELECT {IDS}, {", ".join(_swapped(i, c) for i, c in enumerate(NOISY))} FROM ring r""")
 def swap_noise(c: Campus) -> DataFrame:
-    return noise.swap_noise(
-        pool(c).select(*ID_COLUMNS, *NOISY), ["student_id", "school_year", "semester"], NOISY, digits=1
-    )
+    return noise.swap_noise(pool(c).select(*ID_COLUMNS, *NOISY), ["student_id", "school_year", "semester"], NOISY)

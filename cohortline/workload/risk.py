@@ -106,6 +106,7 @@ running AS (
   WINDOW w AS ({part}ORDER BY pred_proba DESC ROWS UNBOUNDED PRECEDING)),
 areas AS (
   SELECT {comma}CAST(sum(n) AS BIGINT) AS test_rows, CAST(sum(p) AS BIGINT) AS positive_rows,
+    CAST(0 AS BIGINT) AS unscored_rows,
     {r("sum((n - p) * (p_upto - p / 2.0::DOUBLE)) / (CAST(sum(p) AS DOUBLE) * sum(n - p))", 6)} AS roc_auc,
     {r("sum(p * CAST(p_upto AS DOUBLE) / n_upto) / sum(p)", 6)} AS pr_auc
   FROM running {f"GROUP BY {by}" if by else ""})"""
@@ -122,7 +123,7 @@ def average_precision(c: Campus) -> DataFrame:
 
 
 SQL_EVALUATED = f"""{SQL_SCORED}, {SQL_CELLS}, {_sql_curve("model")},
-evaluated AS (SELECT model, test_rows, positive_rows, {_RATES}, roc_auc, pr_auc, tn, fp, fn, tp FROM areas JOIN cells USING (model))"""
+evaluated AS (SELECT model, test_rows, positive_rows, unscored_rows, {_RATES}, roc_auc, pr_auc, tn, fp, fn, tp FROM areas JOIN cells USING (model))"""
 
 
 @query(f"{SQL_EVALUATED} SELECT * FROM evaluated")

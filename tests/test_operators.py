@@ -351,7 +351,45 @@ def test_noise_is_repeatable_and_has_the_asked_rate(spark):
     assert low.mean() == pytest.approx(0.25, abs=0.03)
     assert values[~low].std() == pytest.approx(0.05, rel=0.1) and values[low].mean() == pytest.approx(0, abs=0.01)
     assert masked.exceptAll(noise.mask_noise(df.repartition(5), ["id"], ["a", "b"])).isEmpty()
-    swapped = {r["id"]: r["b"] for r in noise.swap_noise(df, ["id"], ["a", "b"], digits=1).collect()}
+    swapped = {r["id"]: r["b"] for r in noise.swap_noise(df, ["id"], ["a", "b"]).collect()}
     moved = [i for i, b in swapped.items() if i != b]
     assert len(moved) / 4000 == pytest.approx(0.3, abs=0.03)
     assert set(swapped.values()) <= set(float(i) for i in range(4000))
+
+
+@pytest.mark.parametrize("n", [1000, 12_000])
+def test_every_column_swaps_its_share(spark, n):
+    names = [f"c{i}" for i in range(17)]
+    df = spark.range(n).select("id", *[F.col("id").alias(c) for c in names])
+    rows = noise.swap_noise(df, ["id"], names).collect()
+    assert len(rows) == n
+    for c in names:
+        assert sum(r[c] != r["id"] for r in rows) / n == pytest.approx(0.3, abs=0.05)
+        assert all(0 <= r[c] < n for r in rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_swaps_in_tiny_tables(spark, n):
+    names = [f"c{i}" for i in range(9)]
+    df = spark.range(n).select("id", *[F.col("id").alias(c) for c in names])
+    rows = noise.swap_noise(df, ["id"], names, swap_rate=1.1).collect()
+    assert len(rows) == n and all((r[c] != r["id"]) == (n > 1) for r in rows for c in names)
+
+
+def test_rows_without_a_class_or_a_score_stay(table):
+    df = table([(str(i), i % 3 if i % 3 else None) for i in range(30)], "k string, y int")
+    split = features.stratified_split(df, "y", ["k"])
+    assert Counter((r["y"], r["split"]) for r in split.collect()) == {(y, s): n for y in (None, 1, 2) for s, n in (("test", 2), ("train", 8))}
+    scored = table(
+        [(1, 1, 0.9), (0, 0, 0.1), (1, 0, None), (None, 0, 0.5), (0, 1, float("nan"))], "label int, pred_label int, pred_proba double"
+    )
+    row = metrics.evaluate(scored).first()
+    assert (row["test_rows"], row["positive_rows"], row["unscored_rows"], row["tn"], row["fp"], row["fn"], row["tp"]) == (5, 2, 2, 1, 1, 1, 1)
+    assert row["roc_auc"] == 1.0
+
+
+def test_nan_is_missing(table):
+    df = table([(1.0,), (2.0,), (float("nan"),), (3.0,)], "x double")
+    assert tuple(features.column_medians(df, ["x"]).first()) == ("x", 3, 2.0)
+    stats = features.mean_std(df, ["x"]).first()
+    assert (stats["n"], stats["mean"]) == (3, 2.0)

@@ -43,8 +43,8 @@ def test_scale_and_centroids(cloud):
     df, labels, points = cloud
     scale = vectors.fit_scale(df)
     assert scale.mean == pytest.approx(points.mean(axis=0)) and scale.std == pytest.approx(points.std(axis=0))
-    ids, matrix = vectors.centre_matrix(vectors.centroids(df))
-    assert ids.tolist() == [0, 1, 2]
+    [(ids, matrix)] = vectors.centre_blocks(vectors.centroids(df))
+    assert ids == [0, 1, 2]
     assert matrix == pytest.approx(np.array([points[labels == c].mean(axis=0) for c in range(3)]))
 
 
@@ -55,13 +55,33 @@ def test_nearest_centroid_prefers_the_lowest_id_on_a_tie(table):
     assert got == {1: 2, 2: 5}
 
 
-def test_no_or_too_many_centres_is_an_error(spark, table, monkeypatch):
-    empty = table([], "cluster int, centre array<double>")
+def test_no_centre_is_an_error(table):
     with pytest.raises(ValueError, match="centres"):
-        vectors.centre_matrix(empty)
-    monkeypatch.setattr(vectors, "MAX_CENTRES", 2)
-    with pytest.raises(ValueError, match="centres"):
-        vectors.centre_matrix(table([(i, [0.0]) for i in range(3)], "cluster int, centre array<double>"))
+        vectors.centre_blocks(table([], "cluster int, centre array<double>"))
+
+
+def test_many_centres_come_in_blocks(table):
+    centres = table([(i, [float(i)]) for i in range(50)], "cluster int, centre array<double>")
+    rows = table([(i, [i + 0.2]) for i in range(50)] + [(99, None), (98, [float("nan")])], "id int, embedding array<float>")
+    got = {r["id"]: r["nearest"] for r in vectors.nearest_centroid(rows, centres, block_rows=7).collect()}
+    assert got == {i: i for i in range(50)} | {98: None, 99: None}
+
+
+def test_unusable_vectors_have_no_neighbour_and_no_distance(table):
+    nan = float("nan")
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [nan, 1.0]), ("d", None), ("e", [0.0, 1.0])]
+    df = table(rows, "id string, embedding array<float>")
+    got = {r["key"]: r["neighbour"] for r in vectors.nearest_neighbour(df, df, "id").collect()}
+    assert got == {"a": "b", "b": "a", "c": None, "d": None, "e": "b"}
+    alone = df.where("id = 'a'")
+    assert [tuple(r) for r in vectors.nearest_neighbour(alone, alone, "id").collect()] == [("a", None, None)]
+    flagged = {r["id"]: r["is_outlier"] for r in clusters.outlier_flag(df).collect()}
+    assert flagged["c"] is None and flagged["d"] is None and flagged["a"] is not None
+
+
+def test_silhouette_of_equal_points_is_zero(table):
+    df = table([(i, i % 2, [1.0, 2.0]) for i in range(6)], "id int, cluster int, embedding array<float>")
+    assert clusters.silhouette(df, "id").first()["silhouette"] == 0.0
 
 
 @pytest.mark.parametrize("limit", [1000, 10])
@@ -70,7 +90,7 @@ def test_nearest_neighbour(cloud, limit):
     unit = points / np.linalg.norm(points, axis=1, keepdims=True)
     similar = np.round(unit @ unit.T, 12)
     np.fill_diagonal(similar, -np.inf)
-    got = {r["key"]: (r["neighbour"], r["cosine"]) for r in vectors.nearest_neighbour(df, df, "id", bank_limit=limit).collect()}
+    got = {r["key"]: (r["neighbour"], r["cosine"]) for r in vectors.nearest_neighbour(df, df, "id", block_rows=limit).collect()}
     assert len(got) == len(points)
     for i, row in enumerate(similar):
         assert got[i] == (row.argmax(), pytest.approx(row.max()))
