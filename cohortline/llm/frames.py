@@ -97,6 +97,15 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
+def dealt_by(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows of a key in one partition, sorted by key (and ``order``).
+
+    The exchange is by a hash of the key: Spark drops one by the key itself if the rows come from a join on that key, and
+    may then still split large partitions of the join, which would tear groups apart.
+    """
+    return df.repartition(F.xxhash64(F.col(key))).sortWithinPartitions(key, *order)
+
+
 def map_sorted_groups(df: DataFrame, key: str, ddl: str, work: Callable[[pa.Table], list | None]) -> DataFrame:
     """Rows of a long ``key`` together, one call per key, many small groups per Arrow batch. The caller bounds the groups.
 
@@ -141,7 +150,7 @@ def map_sorted_groups(df: DataFrame, key: str, ddl: str, work: Callable[[pa.Tabl
         if out:
             yield flush()
 
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, ddl)
+    return dealt_by(df, key).mapInArrow(run, ddl)
 
 
 def tiled(members: DataFrame, group: str, size: str, limit: int, node: str = "node") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.frames import append_columns, components, star_roots, tiled, without
+from cohortline.llm.frames import append_columns, components, dealt_by, star_roots, tiled, without
 from cohortline.llm.text import _BASE, _BYTE_CODES, VISIBLE, chunks, mix, prefix_sums, raw_text, run_hashes, signed
 from cohortline.session import cut_lineage
 
@@ -171,7 +171,7 @@ def shared_segments(index: DataFrame) -> DataFrame:
         if last is not None and open_:
             yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], names=["segment", "line"])
 
-    return index.repartition("segment").sortWithinPartitions("segment", "line").mapInArrow(run, "segment long, line long")
+    return dealt_by(index, "segment", "line").mapInArrow(run, "segment long, line long")
 
 
 def within_edits(a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
@@ -297,7 +297,7 @@ def line_links(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     members = shared.join(once.select("segment", "size"), "segment")
     dealt = cut_lineage(tiled(members, "segment", "size", TILE, node="line").select("tile_pair", "side", "line"))
     texts = _texts(docs).join(dealt.select("line").distinct(), "line").groupBy("line").agg(F.any_value("content").alias("content"))
-    rows = dealt.join(texts, "line").repartition("tile_pair").sortWithinPartitions("tile_pair")
+    rows = dealt_by(dealt.join(texts, "line"), "tile_pair")
     return rows.mapInArrow(lambda batches: _verify(batches, edits), "a long, b long")
 
 
