@@ -185,13 +185,26 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], p
 
     kind = docs.schema[id].dataType.simpleString()
     ddl = f"_id {kind}, " + ", ".join(f"{n} double" for n in names) + ", hashes binary, shares binary"
-    found = texts.select("_id", *names, "text").mapInArrow(run, ddl).toPandas()
-    found = found.sort_values(["_id", *names], kind="stable")  # the order of the rows is that of the folds
-    sets = [np.frombuffer(s, np.uint64) for s in found["hashes"]]
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    hashes = np.concatenate([np.zeros(0, np.uint64), *sets])
-    shares = np.frombuffer(b"".join(found["shares"]), np.float64).reshape(-1, 4)
-    return fit_chain(names, found[names].to_numpy(np.float64), odds, rows, hashes, shares)
+    found = texts.select("_id", *names, "text").mapInArrow(run, ddl).collect()
+    missing = lambda v: (v is None, v if v is not None else 0)
+    found.sort(key=lambda r: tuple(missing(v) for v in r[: 1 + len(names)]))  # the order of the rows is that of the folds
+    rows, hashes = _frequent([r["hashes"] for r in found])
+    shares = np.array([np.frombuffer(r["shares"]) for r in found]).reshape(-1, 4)
+    known = np.array([[np.nan if r[n] is None else r[n] for n in names] for r in found], np.float64).reshape(-1, len(names))
+    del found
+    return fit_chain(names, known, odds, rows, hashes, shares)
+
+
+def _frequent(sets: list[bytes], slots: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of features, without those that too few rows have to be chosen: counted in slots first, so that
+    the many rare ones are never in one array."""
+    mask = np.uint64(slots - 1)
+    counts = np.zeros(slots, np.int32)
+    for s in sets:
+        np.add.at(counts, (np.frombuffer(s, np.uint64) & mask).astype(np.int64), 1)
+    kept = [h[counts[(h & mask).astype(np.int64)] >= LEAST] for s in sets for h in [np.frombuffer(s, np.uint64)]]
+    rows = np.repeat(np.arange(len(kept), dtype=np.int64), [len(h) for h in kept])
+    return rows, np.concatenate([np.zeros(0, np.uint64), *kept])
 
 
 def score(docs: DataFrame, chain: list[Link], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
