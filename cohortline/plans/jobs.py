@@ -165,18 +165,26 @@ def cluster_tables(last: DataFrame, key: str = "student_id", vector: str = "embe
         "inlier_profile": clusters.inlier_profile(assigned),
         "sizes": clusters.cluster_sizes(assigned),
         "coordinates": clusters.pca_2d(assigned),
+        "top_outliers": clusters.top_outliers(assigned, [key, "cluster", "embedding_distance_to_center", "is_outlier"], [key]),
+        "by_college": clusters.cluster_distribution(assigned, "college"),
+        "by_major": clusters.cluster_distribution(assigned, "major"),
     }
 
 
 def dynamics_tables(assigned_terms: DataFrame) -> dict[str, DataFrame]:
     paths = dynamics.transitions(assigned_terms)
     counts = dynamics.transition_counts(paths)
+    rates, risk = dynamics.transition_rates(counts), dynamics.transition_risk(paths)
+    term_clusters = dynamics.term_cluster_counts(assigned_terms)
     return {
         "transitions": paths,
         "counts": counts,
-        "rates": dynamics.transition_rates(counts),
-        "risk": dynamics.transition_risk(paths),
-        "term_clusters": dynamics.term_cluster_counts(assigned_terms),
+        "rates": rates,
+        "risk": risk,
+        "term_clusters": term_clusters,
+        "top_transitions": dynamics.top_transitions(rates),
+        "top_risk_transitions": dynamics.top_risk_transitions(risk),
+        "head_term_clusters": dynamics.head_term_clusters(term_clusters),
         "stay_rate": dynamics.stay_rate(paths),
     }
 

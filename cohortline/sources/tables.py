@@ -36,6 +36,17 @@ SIGNATURES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("competition", ("XHHGH", "JSMC", "HJJB", "HJDJ")),
 )
 
+# The columns that the semester base asks of its tables. A fitness table need not hold the single exercises.
+SEMESTER_SIGNATURES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("student_basic", ("XH", "XB", "MZMC", "ZZMMMC", "CSRQ", "JG", "XSM", "ZYM")),
+    ("physical_test", ("XH", "XB", "NJ", "YX", "ZY", "BJ", "BH", "TCNF", "ZF")),
+    ("online_learning", ("LOGIN_NAME", "XM", "DEPARTMENT_NAME", "MAJOR_NAME", "CLASS_NAME", "ROLEID", "BFB")),
+    ("course_select", ("XH", "JXBH", "KCH", "KKXN", "KKXQ")),
+    ("student_score", ("XH", "ZXJXJHH", "KCH", "KXH", "KCCJ", "JDCJ")),
+    ("internet_stats", ("XSBH", "TJNY", "SWLJSC")),
+    ("status_change", ("XH", "YDRQ", "YDLBDM", "YDYYDM", "SPRQ", "SFZX")),
+)
+
 ORDINAL = "ordinal"
 
 
@@ -45,11 +56,15 @@ def match_source(columns: Iterable[str], signatures: Sequence[tuple[str, tuple[s
     return next((alias for alias, needed in signatures if present.issuperset(n.lower() for n in needed)), None)
 
 
-def match_sources(tables: Iterable[DataFrame], required: Iterable[str]) -> dict[str, DataFrame]:
-    """Recognise tables by their columns; a required alias that stays empty is an error."""
+def match_sources(
+    tables: Iterable[DataFrame],
+    required: Iterable[str],
+    signatures: Sequence[tuple[str, tuple[str, ...]]] = SIGNATURES,
+) -> dict[str, DataFrame]:
+    """Recognise tables by their columns; a required alias that stays empty, or is found twice, is an error."""
     found: dict[str | None, DataFrame] = {}
     for df in tables:
-        alias = match_source(df.columns)
+        alias = match_source(df.columns, signatures)
         if alias is not None and alias in found:
             raise ValueError(f"two tables look like {alias}: union them first")
         found[alias] = df

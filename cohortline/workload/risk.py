@@ -206,7 +206,7 @@ def model_grid(c: Campus) -> DataFrame:
     embedded = cut_lineage(models.embed_rows(train.unionByName(test), models.fit_preprocessor(train), dims=16))
     last = features.last_term(embedded)
     flagged = clusters.outlier_flag(vectors.scale_vectors(last, vectors.fit_scale(last)), "embedding_scaled")
-    search = clusters.choose_k(clusters.inliers(flagged), "student_id", ks=[3], restarts=1, metric="squaredEuclidean")
+    search = clusters.choose_k(clusters.inliers(flagged), "student_id")
     threshold = flagged.agg(F.max("outlier_distance_threshold")).first()[0]
     placed = clusters.assign_semesters(embedded, search.labelled, threshold)
     wide = models.with_clusters(embedded, models.cluster_source(placed))
