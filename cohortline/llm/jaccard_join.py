@@ -35,6 +35,8 @@ SHINGLE = 5
 TOKENS = 128
 BRANCH = 2
 LEAF = 128
+#: Members of a tile of signatures, which have 512 bytes each.
+TILE = 1024
 DEPTH = 8
 
 _MULTIPLIERS = np.random.default_rng(128).integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -171,7 +173,7 @@ def candidate_links(buckets: DataFrame, sets: DataFrame, similarity: float, leaf
     marked = cut_lineage(marked_around(large.join(sets, "node"), "path", "sig", near))
     through = marked.where("near AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     small = tiled(buckets.where(F.col("size") <= leaf), "path", "size", leaf).select("tile_pair", "side", "node")
-    dealt = small.union(tiled_around(marked, "path", leaf).select("tile_pair", "side", "node"))
+    dealt = small.union(tiled_around(marked, "path", TILE).select("tile_pair", "side", "node"))
     return map_sorted_groups(dealt.join(sets, "node"), "tile_pair", "a long, b long", work).union(through)
 
 
