@@ -261,7 +261,8 @@ def test_lines_of_messy_rows(messy, nothing):
 
 def reference_spans(text):
     out = []
-    for k, p in enumerate((personal_data.EMAIL, personal_data.IP, personal_data.CARD, personal_data.PHONE)):
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for k, p in enumerate((personal_data.EMAIL, plain, personal_data.CARD, personal_data.PHONE)):
         for m in p.finditer(text or ""):
             d = re.sub("[^0-9]", "", m.group())
             if k == 1 and any(int(x) > 255 for x in m.group().split(".")):
@@ -289,6 +290,19 @@ def test_base_spans_equal_the_patterns(spark):
         assert set(want) <= {tuple(s) for s in r["spans"]}
 
 
+def test_base_spans_of_random_texts():
+    rng = np.random.default_rng(12)
+    signs = np.array(list("aB1290..@@+-_ ()%\né"))
+    for _ in range(20000):
+        text = "".join(rng.choice(signs, rng.integers(0, 40)))
+        assert personal_data.base_spans(text) == reference_spans(text), text
+
+
+def test_long_runs_are_linear():
+    for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "a@" * 150_000, "0" * 10_000 + ".1.2.3"):
+        personal_data.base_spans(text)
+
+
 def test_base_spans_of_whole_texts(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     found = personal_data.find_personal_data(docs).collect()
