@@ -311,6 +311,21 @@ def test_base_spans_of_whole_texts(spark):
         assert [(s["start"], personal_data.KINDS.index(s["kind"]), s["end"]) for s in r["base_spans"]] == reference_spans(r["text"])
 
 
+def test_personal_data_query(spark):
+    from cohortline.llm import queries
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    found = queries.QUERIES["op5_personal_data"](spark, SMALL).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        own = reference_spans(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in personal_data.KINDS] == [sum(s[1] == i for s in own) for i in range(4)]
+        listed = [f"{personal_data.KINDS[k]}:{s}:{e}" for s, k, e in own]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(r["spans"].split(",")) | {""}
+    assert sum(r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] for r in found) > 0
+
+
 def test_tagger_learns_held_out_spans(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     windows = personal_data.training_windows(docs.select("text"))
