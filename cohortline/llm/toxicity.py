@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.llm.frames import append_columns, without
-from cohortline.llm.text import _BASE, _BYTE_CODES, ALNUM, Chunk, chunks, prefix_sums, run_hashes
+from cohortline.llm.text import _BASE, _BYTE_CODES, ALNUM, Chunk, chunks, prefix_sums, run_hashes, signed
 
 PER_CLASS = 4000
 FOLDS = 5
@@ -171,13 +171,30 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], p
     # At most 2 * per_class rows of an id and a few numbers.
     texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(sample), "_id")
 
+    def distinct(chunk: Chunk, rows: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(rows, kind="stable")
+        cuts = np.searchsorted(rows[order], np.arange(chunk.rows + 1))
+        return [np.unique(hashes[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def spread(batches):
+        for batch in batches:
+            for chunk, rows, hashes, _ in _features(batch.column("text")):
+                every = np.concatenate(distinct(chunk, rows, hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(every))], names=["hash"])
+
+    # Features that too few rows of the sample have are never chosen; they stay out of the driver.
+    counted = texts.select("text").mapInArrow(spread, "hash long").groupBy("hash").agg(F.count("*").alias("n"))
+    often = counted.where(F.col("n") >= LEAST).select("hash").toArrow().column("hash").to_numpy()
+    often = docs.sparkSession.sparkContext.broadcast(np.sort(often.astype(np.int64).view(np.uint64)))
+
     def run(batches):
         for batch in batches:
             for chunk, rows, hashes, shares in _features(batch.column("text")):
                 own = batch.slice(chunk.first, chunk.rows)
-                order = np.argsort(rows, kind="stable")
-                cuts = np.searchsorted(rows[order], np.arange(chunk.rows + 1))
-                sets = [np.unique(hashes[order[a:b]]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+                known = often.value
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                kept = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+                sets = [x.tobytes() for x in distinct(chunk, rows[kept], hashes[kept])]
                 yield pa.RecordBatch.from_arrays(
                     [own.column("_id"), *(own.column(n) for n in names), pa.array(sets, pa.binary()), pa.array([s.tobytes() for s in shares], pa.binary())],
                     names=["_id", *names, "hashes", "shares"],
@@ -188,25 +205,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], p
     found = texts.select("_id", *names, "text").mapInArrow(run, ddl).collect()
     missing = lambda v: (v is None, v if v is not None else 0)
     found.sort(key=lambda r: tuple(missing(v) for v in r[: 1 + len(names)]))  # the order of the rows is that of the folds
-    rows, hashes = _frequent([r["hashes"] for r in found])
+    sets = [np.frombuffer(r["hashes"], np.uint64) for r in found]
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    hashes = np.concatenate([np.zeros(0, np.uint64), *sets])
     shares = np.array([np.frombuffer(r["shares"]) for r in found]).reshape(-1, 4)
     known = np.array([[np.nan if r[n] is None else r[n] for n in names] for r in found], np.float64).reshape(-1, len(names))
     del found
     return fit_chain(names, known, odds, rows, hashes, shares)
 
 
-def _frequent(sets: list[bytes], slots: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and hashes of features, without those that too few rows have to be chosen: counted in slots first, so that
-    the many rare ones are never in one array."""
-    mask = np.uint64(slots - 1)
-    counts = np.zeros(slots, np.int32)
-    for s in sets:
-        np.add.at(counts, (np.frombuffer(s, np.uint64) & mask).astype(np.int64), 1)
-    kept = [h[counts[(h & mask).astype(np.int64)] >= LEAST] for s in sets for h in [np.frombuffer(s, np.uint64)]]
-    rows = np.repeat(np.arange(len(kept), dtype=np.int64), [len(h) for h in kept])
-    return rows, np.concatenate([np.zeros(0, np.uint64), *kept])
-
-
 def score(docs: DataFrame, chain: list[Link], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All rows of ``docs`` with ``p_<category>`` for each category and ``<last category>`` as a decision."""
     handle = docs.sparkSession.sparkContext.broadcast(chain)
