@@ -81,29 +81,29 @@ class Link:
         if len(self.hashes) and len(hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             hit = self.hashes[at] == hashes
-            pair = np.unique(rows[hit] * len(self.hashes) + at[hit])
+            pair = np.unique(rows[hit].astype(np.int64) * len(self.hashes) + at[hit])
             out += np.bincount(pair // len(self.hashes), self.weights[pair % len(self.hashes)], n)
         return out
 
 
-def _choose(rows: np.ndarray, hashes: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _choose(rows: np.ndarray, codes: np.ndarray, y: np.ndarray, kinds: int) -> np.ndarray:
     """Features whose presence differs most between the classes (two-proportion z score)."""
-    kinds, code = np.unique(hashes, return_inverse=True)
-    n = np.bincount(code, minlength=len(kinds))
-    pos = np.bincount(code, y[rows], len(kinds))
+    n = np.bincount(codes, minlength=kinds)
+    pos = np.bincount(codes[y[rows] > 0], minlength=kinds)
     share = y.mean()
     z = (pos - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
     z[n < LEAST] = 0
     best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    return np.sort(kinds[best[z[best] != 0]])
+    return np.sort(best[z[best] != 0])
 
 
-def _matrix(kept: np.ndarray, n: int, rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray) -> np.ndarray:
+def _matrix(kept: np.ndarray, n: int, rows: np.ndarray, codes: np.ndarray, dense: np.ndarray, kinds: int) -> np.ndarray:
     x = np.zeros((n, len(kept)))
-    if len(kept):
-        at = np.minimum(np.searchsorted(kept, hashes), len(kept) - 1)
-        hit = kept[at] == hashes
-        x[rows[hit], at[hit]] = 1
+    place = np.full(kinds + 1, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    at = place[codes]
+    hit = at >= 0
+    x[rows[hit], at[hit]] = 1
     return np.hstack([x, dense, np.ones((n, 1))])
 
 
@@ -121,22 +121,26 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _fit_one(name: str, n: int, rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, y: np.ndarray) -> Link:
+def _fit_one(name: str, n: int, rows: np.ndarray, codes: np.ndarray, dense: np.ndarray, y: np.ndarray, kinds: int) -> Link:
+    """A model whose features are codes; ``fit_chain`` turns them into hashes."""
     if len(y) == 0 or y.min() == y.max():
-        return Link(name, np.zeros(0, np.uint64), np.zeros(0), np.zeros(dense.shape[1]), 30.0 if len(y) and y.max() == 1 else -30.0)
-    kept = _choose(rows, hashes, y)
-    w = _logistic(_matrix(kept, n, rows, hashes, dense), y)
+        return Link(name, np.zeros(0, np.int64), np.zeros(0), np.zeros(dense.shape[1]), 30.0 if len(y) and y.max() == 1 else -30.0)
+    kept = _choose(rows, codes, y, kinds)
+    w = _logistic(_matrix(kept, n, rows, codes, dense, kinds), y)
     return Link(name, kept, w[: len(kept)], w[len(kept) : -1], float(w[-1]))
 
 
-def _part(mask: np.ndarray, rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray) -> tuple:
-    place = np.cumsum(mask) - 1
+def _part(mask: np.ndarray, rows: np.ndarray, codes: np.ndarray, dense: np.ndarray) -> tuple:
+    place = (np.cumsum(mask) - 1).astype(np.int32)
     inside = mask[rows]
-    return int(mask.sum()), place[rows[inside]], hashes[inside], dense[mask]
+    return int(mask.sum()), place[rows[inside]], codes[inside], dense[mask]
 
 
-def fit_chain(names: list[str], labels: np.ndarray, odds: list[float | None], rows: np.ndarray, hashes: np.ndarray, shares: np.ndarray) -> list[Link]:
-    """``labels``: one column per category, NaN where unknown. ``odds``: log-odds of each category among all labels."""
+def fit_chain(
+    names: list[str], labels: np.ndarray, odds: list[float | None], rows: np.ndarray, codes: np.ndarray, kinds: np.ndarray, shares: np.ndarray
+) -> list[Link]:
+    """``labels``: one column per category, NaN where unknown. ``odds``: log-odds of each category among all labels.
+    ``codes``: places in ``kinds``, the sorted hashes of all features that may be chosen."""
     n = len(labels)
     fold = np.arange(n) % FOLDS
     dense, chain = shares, []
@@ -147,13 +151,13 @@ def fit_chain(names: list[str], labels: np.ndarray, odds: list[float | None], ro
         seen = np.zeros(n)
         for f in range(FOLDS):
             train = known & (fold != f)
-            link = _fit_one(name, *_part(train, rows, hashes, dense), y[train])
-            size, *rest = _part(fold == f, rows, hashes, dense)
+            link = _fit_one(name, *_part(train, rows, codes, dense), y[train], len(kinds))
+            size, *rest = _part(fold == f, rows, codes, dense)
             seen[fold == f] = link.log_odds(size, *rest)
-        link = _fit_one(name, *_part(known, rows, hashes, dense), y[known])
+        link = _fit_one(name, *_part(known, rows, codes, dense), y[known], len(kinds))
         share = y[known].mean() if known.any() else 0
         shift = odds[k] - np.log(share / (1 - share)) if 0 < share < 1 and odds[k] is not None else 0.0
-        chain.append(Link(name, link.hashes, link.weights, link.dense, link.intercept + shift))
+        chain.append(Link(name, kinds[link.hashes], link.weights, link.dense, link.intercept + shift))
         dense = np.hstack([dense, np.clip(seen + shift, -10, 10)[:, None] / 5])
     return chain
 
@@ -194,24 +198,24 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], p
                 known = often.value
                 at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                 kept = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-                sets = [x.tobytes() for x in distinct(chunk, rows[kept], hashes[kept])]
+                sets = [x.tobytes() for x in distinct(chunk, rows[kept], at[kept].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(
                     [own.column("_id"), *(own.column(n) for n in names), pa.array(sets, pa.binary()), pa.array([s.tobytes() for s in shares], pa.binary())],
-                    names=["_id", *names, "hashes", "shares"],
+                    names=["_id", *names, "codes", "shares"],
                 )
 
     kind = docs.schema[id].dataType.simpleString()
-    ddl = f"_id {kind}, " + ", ".join(f"{n} double" for n in names) + ", hashes binary, shares binary"
+    ddl = f"_id {kind}, " + ", ".join(f"{n} double" for n in names) + ", codes binary, shares binary"
     found = texts.select("_id", *names, "text").mapInArrow(run, ddl).collect()
     missing = lambda v: (v is None, v if v is not None else 0)
     found.sort(key=lambda r: tuple(missing(v) for v in r[: 1 + len(names)]))  # the order of the rows is that of the folds
-    sets = [np.frombuffer(r["hashes"], np.uint64) for r in found]
-    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    hashes = np.concatenate([np.zeros(0, np.uint64), *sets])
+    sets = [np.frombuffer(r["codes"], np.int32) for r in found]
+    rows = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    codes = np.concatenate([np.zeros(0, np.int32), *sets])
     shares = np.array([np.frombuffer(r["shares"]) for r in found]).reshape(-1, 4)
     known = np.array([[np.nan if r[n] is None else r[n] for n in names] for r in found], np.float64).reshape(-1, len(names))
-    del found
-    return fit_chain(names, known, odds, rows, hashes, shares)
+    del found, sets
+    return fit_chain(names, known, odds, rows, codes, often.value, shares)
 
 
 def score(docs: DataFrame, chain: list[Link], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
