@@ -112,7 +112,7 @@ def _children(parents: DataFrame) -> DataFrame:
 
 
 def chosen_path_buckets(sets: DataFrame, similarity: float, recall: float, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """Final buckets ``(path, node, size)`` of all runs over ``sets(node, sig)``; equal buckets are kept once."""
+    """Final buckets ``(path, node, size)`` of all runs over ``sets(node, sig)``; of equal final buckets one is kept."""
     runs = F.explode(F.array(*[F.lit(r) for r in range(runs_needed(similarity, recall))])).alias("run")
     level = sets.select("node", "sig", runs).select("node", "sig", F.lit(None).cast("long").alias("size"), F.xxhash64("run").alias("path"))
     leaves = []
@@ -121,11 +121,13 @@ def chosen_path_buckets(sets: DataFrame, similarity: float, recall: float, leaf:
         buckets = split.groupBy("path").agg(
             F.count("*").alias("size"), F.max("parent_size").alias("parent_size"), F.bit_xor(F.xxhash64("node")).alias("members")
         ).where("size > 1")
-        # Buckets with the same members would be compared for the same result.
-        once = buckets.groupBy("size", "members").agg(F.min("path").alias("path"), F.max("parent_size").alias("parent_size"))
         stuck = F.col("parent_size").isNotNull() & (F.col("size") * 2 > F.col("parent_size"))
-        final = (F.col("size") <= leaf) | stuck if step < depth else F.lit(True)
-        placed = cut_lineage(split.select("path", "node").join(once.select("path", "size", final.alias("final")), "path"))
+        done = (F.col("size") <= leaf) | stuck if step < depth else F.lit(True)
+        alike = buckets.withColumn("final", done).groupBy("size", "members").agg(F.max("final").alias("final"), F.collect_list("path").alias("paths"))
+        # Buckets with the same members would be compared for the same result. Those that are split again are not merged:
+        # the chance to find a pair counts on each of their paths.
+        paths = F.explode(F.when(F.col("final"), F.array(F.array_min("paths"))).otherwise(F.col("paths")))
+        placed = cut_lineage(split.select("path", "node").join(alike.select(paths.alias("path"), "size", "final"), "path"))
         leaves.append(placed.where("final").select("path", "node", "size"))
         open_ = placed.where("NOT final").select("path", "node", "size")
         if open_.isEmpty():

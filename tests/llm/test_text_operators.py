@@ -138,6 +138,20 @@ def test_recall_of_the_paths():
     assert (1 - 0.9375) ** jaccard_join.runs_needed(0.8, 0.9999) <= 1e-4
 
 
+def test_open_buckets_keep_their_paths(spark):
+    """Two versions of each of 300 templates: whole buckets are equal on every path, and each path counts."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for template in range(300):
+        one = rng.integers(0, 2**32, 128, dtype=np.uint32)
+        two = np.where(rng.permutation(128) < 102, one, ~one)
+        rows += [(template * 100 + version * 50 + i, sig.tobytes()) for version, sig in enumerate((one, two)) for i in range(10)]
+    sets = spark.createDataFrame(rows, "node long, sig binary")
+    together = jaccard_join.chosen_path_buckets(sets, 0.8, 0.9999, leaf=12).groupBy("path", F.expr("node div 100").alias("template"))
+    found = together.agg(F.countDistinct(F.expr("node div 50")).alias("versions")).where("versions = 2").select("template").distinct().count()
+    assert found == 300
+
+
 # --- substrings
 
 
