@@ -302,8 +302,9 @@ def line_links(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
-    """``key``, ``doc``, ``n_lines``, ``removed`` (sorted numbers of the lines that go) of every row that has lines;
-    ``key`` is a hash of id and text."""
+    """``key``, ``removed`` (sorted numbers of the lines that go) and ``known`` (of all lines that also occur elsewhere) of
+    every row with such lines; ``key`` is a hash of id and text. Equal rows are one: ``removed`` is that of the first copy,
+    and of the others all lines go, which are ``known``."""
     keyed = docs.select(F.col(id).alias("doc"), F.xxhash64(id, text).alias("key"), F.col(text).alias("text"))
     places = _places(keyed)
     place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "key", "number")
@@ -312,20 +313,29 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", edit
     known = cut_lineage(firsts.join(classes, "line", "left").where((F.col("times") > 1) | F.col("class").isNotNull()))
     first = known.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("first").alias("class_first"))
     known = known.join(first, "class", "left").select("line", F.coalesce("class_first", "first").alias("first"))
-    gone = places.join(known, "line").where(~place.eqNullSafe(F.col("first")))
-    return gone.groupBy("key").agg(F.sort_array(F.collect_set("number")).alias("removed"))
+    found = places.join(known, "line").withColumn("goes", ~place.eqNullSafe(F.col("first")))
+    gone = F.collect_set(F.when(F.col("goes"), F.col("number")))
+    return found.groupBy("key").agg(F.sort_array(gone).alias("removed"), F.sort_array(F.collect_set("number")).alias("known"))
 
 
 def deduplicate_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, with_text: bool = True) -> DataFrame:
     """All rows of ``docs`` with ``n_lines``, ``n_removed``, ``removed`` (line numbers from 0) and, if wanted, ``kept_text``."""
-    plain = without(docs, ["n_lines", "n_removed", "removed", "kept_text", "_key", "_removed"])
-    removed = repeated_lines(plain, id, text, edits).select(F.col("key").alias("_key"), F.col("removed").alias("_removed"))
+    plain = without(docs, ["n_lines", "n_removed", "removed", "kept_text", "_key", "_removed", "_row"])
     keyed = plain.withColumn("_key", F.xxhash64(id, text))
     if not with_text:
         # Lines are counted where the text is read; the text itself is not moved.
-        counted = append_columns(keyed, "n_lines long", lambda batches: _counts(batches, text), hidden=(text,))
-        out = counted.join(removed, "_key", "left").withColumn("removed", F.coalesce("_removed", F.array().cast("array<int>")))
-        return out.withColumn("n_removed", F.size("removed").cast("long")).drop("_key", "_removed")
+        keyed = append_columns(keyed, "n_lines long", lambda batches: _counts(batches, text), hidden=(text,))
+    # Numbers of rows have to be the same wherever they are read.
+    numbered = cut_lineage(keyed.withColumn("_row", F.monotonically_increasing_id()))
+    stays = numbered.groupBy("_key").agg(F.count("*").alias("copies"), F.min("_row").alias("stays")).where("copies > 1").select("_key", "stays")
+    cuts = repeated_lines(plain, id, text, edits).withColumnRenamed("key", "_key").join(stays, "_key", "left")
+    # Exchanged again, so that Spark may split the join if a row has very many copies; one by the key itself is dropped.
+    cuts = cuts.repartition(F.xxhash64("_key"))
+    own = F.when(F.col("_row") != F.col("stays"), F.col("known")).otherwise(F.col("removed"))
+    marked = numbered.join(cuts, "_key", "left").withColumn("_removed", F.coalesce(own, F.array().cast("array<int>")))
+    marked = marked.select(*[f"`{c}`" for c in keyed.columns if c != "_key"], "_removed")
+    if not with_text:
+        return marked.withColumnRenamed("_removed", "removed").withColumn("n_removed", F.size("removed").cast("long"))
 
     def compute(batches):
         for batch in batches:
@@ -333,7 +343,6 @@ def deduplicate_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", e
             n, gone, kept = [], [], []
             for a, b, cut in zip(at[:-1], at[1:], batch.column("_removed").to_pylist()):
                 lines = data[a:b].tobytes().split(b"\n")
-                cut = cut or []
                 n.append(sum(1 for x in lines if x.strip()))
                 gone.append(cut)
                 drop = set(cut)
@@ -343,7 +352,7 @@ def deduplicate_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", e
             ]
 
     ddl = "n_lines long, n_removed long, removed array<int>, kept_text string"
-    return append_columns(keyed.join(removed, "_key", "left"), ddl, compute, hidden=("_key", "_removed"))
+    return append_columns(marked, ddl, compute, hidden=("_removed",))
 
 
 def _counts(batches, text: str):

@@ -270,6 +270,23 @@ def test_lines_of_messy_rows(messy, nothing):
     assert line_dedup.deduplicate_lines(nothing).count() == 0
 
 
+def test_lines_of_repeated_rows(spark, messy, messy_rows):
+    """Of equal rows the lines of one stay, whatever else has the lines."""
+    line = "the quick brown fox jumps over the lazy dog again"
+    rows = [
+        *[(1, f"{line}\n\nonly here\nonly here")] * 50, (2, line[1:]), *[(3, "alone in its row")] * 2, *[(None, f"no id\n{line}x")] * 3,
+        *[(4, None)] * 2, *[(5, " \n")] * 2, (6, "no id"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for given, own in ((docs, rows), (messy, messy_rows)):
+        found = line_dedup.deduplicate_lines(given).collect()
+        assert Counter((r["doc_id"], str(r["removed"])) for r in found) == removed_lines(own)
+        for r in found:
+            assert r["kept_text"] == "\n".join(x for i, x in enumerate((r["text"] or "").split("\n")) if i not in r["removed"])
+        slim = line_dedup.deduplicate_lines(given, with_text=False)
+        assert Counter((r["doc_id"], str(r["removed"])) for r in slim.collect()) == removed_lines(own)
+
+
 # --- personal data
 
 
