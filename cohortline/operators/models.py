@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.ml import Model, Pipeline, PipelineModel
@@ -23,8 +24,10 @@ from cohortline.sources.schemas import CATEGORICAL_FEATURES, ID_COLUMNS, LABEL,
 
 # Model settings of the compared runs.
 LOGISTIC_ITERATIONS = 3000
-FOREST_TREES, FOREST_LEAF = 400, 2
-BOOST_ROUNDS, BOOST_STEP, BOOST_SUBSAMPLE = 500, 0.05, 0.8
+FOREST_TREES, FOREST_LEAF, GRID_TREES = 400, 2, 500
+#: Spark's bound; the compared forests have none.
+FOREST_DEPTH = 30
+BOOST_ROUNDS, BOOST_STEP, BOOST_SUBSAMPLE, BOOST_COLUMNS = 500, 0.05, 0.8, "0.8"
 TOP_FEATURES = 100
 NO_CLUSTER = "NO_CLUSTER"
 
@@ -212,7 +215,7 @@ def random_forest(
     label: str = LABEL,
     trees: int = FOREST_TREES,
     min_leaf: int = FOREST_LEAF,
-    max_depth: int = 12,
+    max_depth: int = FOREST_DEPTH,
     seed: int = 42,
 ) -> Model:
     return RandomForestClassifier(
@@ -236,6 +239,7 @@ def boosted_trees(
         stepSize=step,
         maxDepth=5,
         subsamplingRate=BOOST_SUBSAMPLE,
+        featureSubsetStrategy=BOOST_COLUMNS,
         checkpointInterval=10,
         seed=seed,
     ).fit(with_class_weight(train, label))
@@ -277,7 +281,7 @@ FEATURE_SETS = {
 }
 MODELS: dict[str, Callable[[DataFrame, str], Model]] = {
     "logistic_regression": logistic_regression,
-    "random_forest": random_forest,
+    "random_forest": partial(random_forest, trees=GRID_TREES),
 }
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,18 +170,14 @@ def logistic_regression(c: Campus) -> DataFrame:
     return _scored(c, models.logistic_regression)
 
 
-small_forest = partial(models.random_forest, trees=100, min_leaf=1)
-few_rounds = partial(models.boosted_trees, rounds=20)
-
-
 @query()
 def random_forest(c: Campus) -> DataFrame:
-    return _scored(c, small_forest)
+    return _scored(c, models.random_forest)
 
 
 @query()
 def boosted_trees(c: Campus) -> DataFrame:
-    return _scored(c, few_rounds)
+    return _scored(c, models.boosted_trees)
 
 
 @query()
@@ -215,5 +209,4 @@ def model_grid(c: Campus) -> DataFrame:
         rows.where(F.col("split") == "train"),
         rows.where(F.col("split") == "test"),
         feature_sets=FEATURE_SETS,
-        models={"logistic_regression": models.logistic_regression, "random_forest": small_forest},
     )

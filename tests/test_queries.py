@@ -7,6 +7,7 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from cohortline.operators import models
 from cohortline.workload import ORACLES, QUERIES
 
 # Without SQL: iterative fits. What they must satisfy is tested with their operators.
@@ -67,3 +68,25 @@ def test_dirty_dates_are_parsed_once_per_row(spark):
     above = plan[: plan.index("Generate explode")]
     assert "gettimestamp" not in above.lower()
     assert rows.count() == 1
+
+
+@pytest.mark.parametrize("name", ["random_forest", "boosted_trees", "model_grid"])
+def test_fits_are_whole(spark, monkeypatch, name):
+    """Queries fit what the compared runs fit: all trees and rounds, as deep as Spark grows them, with sampled columns."""
+    wanted = {
+        "random_forest": {"numTrees": 400, "maxDepth": 30, "minInstancesPerNode": 2},
+        "boosted_trees": {"maxIter": 500, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
+        "model_grid": {"numTrees": 500, "maxDepth": 30, "minInstancesPerNode": 2},
+    }[name]
+
+    class Fitted(Exception):
+        pass
+
+    def fit(self, rows):
+        raise Fitted({p: self.getOrDefault(p) for p in wanted})
+
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", fit)
+    monkeypatch.setattr(models.GBTClassifier, "fit", fit)
+    with pytest.raises(Fitted) as seen:
+        QUERIES[name](spark, SMALL)
+    assert seen.value.args[0] == wanted
