@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import decontamination, embedding_forest, jaccard_join, line_dedup, mixing, personal_data, sharding, substring_dedup, toxicity, warc_store
+from cohortline.llm import (
+    decontamination,
+    embedding_forest,
+    jaccard_join,
+    lexical_search,
+    line_dedup,
+    mixing,
+    personal_data,
+    sharding,
+    substring_dedup,
+    toxicity,
+    warc_store,
+)
 from cohortline.llm.frames import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +191,30 @@ FROM d LEFT JOIN kept USING (doc_id)
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {TERMS_SQL} AS w FROM documents),
+held AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, w FROM d WHERE len(w) > 0),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM held),
+wanted AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({TERMS_SQL}) AS term FROM benchmark)),
+counted AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM held) SEMI JOIN wanted USING (term) GROUP BY r, term),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), corpus
+),
+gain AS (
+  SELECT r, doc_id, term, weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))) AS g
+  FROM counted JOIN weight USING (term) JOIN held USING (r), corpus
+),
+scored AS (SELECT item_id, r, doc_id, CAST(sum(g) AS BIGINT) AS score FROM wanted JOIN gain USING (term) GROUP BY item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM scored WHERE score > 0)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM ranked WHERE k <= 10
+"""
+)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
