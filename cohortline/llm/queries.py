@@ -17,6 +17,7 @@ from cohortline.llm import (
     personal_data,
     sharding,
     substring_dedup,
+    token_alignment,
     toxicity,
     warc_store,
 )
@@ -218,3 +219,9 @@ SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM ranked WHERE k <=
 )
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
