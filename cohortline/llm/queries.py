@@ -15,6 +15,7 @@ from cohortline.llm import (
     line_dedup,
     mixing,
     personal_data,
+    secret_scan,
     sharding,
     substring_dedup,
     token_alignment,
@@ -37,6 +38,14 @@ def query(sql: str | None = None):
     return register
 
 
+def _span_columns(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts and digest of the base spans, and all spans as text."""
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(k).alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
@@ -125,10 +134,7 @@ def op4_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    number = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
-    counts = [number(k).alias(f"n_{k}") for k in personal_data.KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return _span_columns(found, personal_data.KINDS)
 
 
 @query(
@@ -194,6 +200,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query()
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _span_columns(found, secret_scan.KINDS)
+
+
 TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 
