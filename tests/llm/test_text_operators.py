@@ -124,6 +124,50 @@ def test_dense_group_larger_than_a_tile(spark):
     assert Counter((r["id"], r["class_id"], r["n_links"]) for r in found) == jaccard_classes(rows)
 
 
+def near_copies(n, length=150, seed=6):
+    """One text with up to four words changed, many of them further from each other than similar ones may be."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        text = [f"b{k}" for k in range(length)]
+        for at in rng.integers(0, length, i % 5):
+            text[at] = f"x{rng.integers(40)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("tile, tile_bytes", [(4096, 1 << 30), (20, 1 << 30), (4096, 20_000)])
+def test_shells_decide_like_brute_force(spark, tile, tile_bytes):
+    rows = near_copies(260) + [(1000 + i, t.replace("b7", "c7").replace("b1", "d1")) for i, t in near_copies(140, seed=9)]
+    found = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tile=tile, tile_bytes=tile_bytes).collect()
+    assert Counter((r["id"], r["class_id"], r["n_links"]) for r in found) == jaccard_classes(rows)
+
+
+def test_shells_far_apart_in_length_are_linked_rightly():
+    assert [jaccard_join._linked_shells(s) for s in range(4)] == [[0, 1, 2], [0, 1], [0], []]
+
+
+def test_compared_rows_grow_with_the_group(spark, monkeypatch):
+    """Rows sent to be compared: as many as members, whether a group has a thousand or four thousand."""
+    sent = {}
+    compare = jaccard_join.map_sorted_groups
+    for n in (1000, 4000):
+        counts = []
+
+        def counted(df, key, ddl, work, counts=counts):
+            counts.append(df.count())
+            return compare(df, key, ddl, work)
+
+        monkeypatch.setattr(jaccard_join, "map_sorted_groups", counted)
+        docs = spark.createDataFrame(near_copies(n), "doc_id long, text string").dropDuplicates(["text"])
+        sent[docs.count()] = (counts, jaccard_join.similar_documents(docs).count())[0]
+    (few, first), (many, second) = sorted(sent.items())
+    assert second[-1] <= 1.1 * first[-1] * many / few  # on whole sets
+    # Candidates: at most one row for every path of the two levels at which a bucket of alike members ends, and few besides.
+    paths = jaccard_join.runs_needed(0.8, 0.9999) * jaccard_join.BRANCH**2
+    assert first[0] <= 1.25 * paths * few and second[0] <= 1.25 * paths * many
+
+
 def test_one_of_each_class_stays(messy, messy_rows, nothing):
     kept = jaccard_join.one_of_each_class(messy)
     assert kept.columns == messy.columns
