@@ -91,17 +91,19 @@ def read_raw(
 ) -> DataFrame:
     """Named columns of a raw table, every cell as text.
 
-    ``with_ordinal`` adds the row's place (file, then row in file), which operators that keep the
-    "first" value need. Only Parquet knows it; a CSV table must bring its own ordinal column.
+    ``with_ordinal`` adds the row's place (file, then row in file), which operators that keep the "first" value need.
+    Parquet numbers its rows. A split of a text file is read in order by one task, so file, start of the split and a
+    number that grows within the task order its rows, wherever the file is cut.
     """
     if fmt == "csv":
-        if with_ordinal:
-            raise ValueError("CSV has no stable row position: convert to Parquet or carry an ordinal column")
-        return spark.read.csv(path, header=True, inferSchema=False).select(*columns)
-    df = spark.read.format(fmt).load(path)
+        df = spark.read.csv(path, header=True, inferSchema=False)
+        place = ["_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")]
+    else:
+        df = spark.read.format(fmt).load(path)
+        place = ["_metadata.file_path", "_metadata.row_index"]
     picked: list[Column] = [F.col(c).cast("string").alias(c) for c in columns]
     if with_ordinal:
-        picked.append(F.struct("_metadata.file_path", "_metadata.row_index").alias(ORDINAL))
+        picked.append(F.struct(*place).alias(ORDINAL))
     return df.select(*picked)
 
 

@@ -148,12 +148,26 @@ def test_raw_round_trip(spark, table, tmp_path):
     tables.write_table(df, str(tmp_path / "c"), fmt="csv")
     text = tables.read_raw(spark, str(tmp_path / "c"), ["a"], fmt="csv")
     assert text.count() == 20 and text.columns == ["a"]
-    with pytest.raises(ValueError, match="CSV"):
-        tables.read_raw(spark, str(tmp_path / "c"), ["a"], fmt="csv", with_ordinal=True)
     typed = tables.read_table(spark, str(tmp_path / "c"), df.schema, fmt="csv")
     assert typed.where("b IS NULL").count() == 10 and typed.where("n = 3").count() == 1
 
 
+@pytest.mark.parametrize("split", ["2k", "64m"])
+def test_csv_rows_keep_their_order(spark, tmp_path, split):
+    """Rows of several files over many splits, as their ordinals sort them."""
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("n,v\n" + "".join(f"{name}{i},{i % 7}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = tables.read_raw(spark, str(tmp_path), ["n", "v"], fmt="csv", with_ordinal=True)
+        assert [r["n"] for r in rows.repartition(5).orderBy(ORDINAL).collect()] == [f"{name}{i}" for name in "ab" for i in range(5000)]
+        first = rows.groupBy("v").agg(F.min_by("n", ORDINAL).alias("first"))
+        assert {r["v"]: r["first"] for r in first.collect()} == {str(i): f"a{i}" for i in range(7)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_spread_vectors(table):
     df = table([(1, 0.5, 1.5, 9.0)], "id int, emb_00 double, emb_01 double, emb_scaled_00 double")
     names = tables.columns_with_prefix(df)

@@ -393,3 +393,27 @@ def test_nan_is_missing(table):
     assert tuple(features.column_medians(df, ["x"]).first()) == ("x", 3, 2.0)
     stats = features.mean_std(df, ["x"]).first()
     assert (stats["n"], stats["mean"]) == (3, 2.0)
+
+
+def test_running_totals_exchange_whole_rows_once(table):
+    """The range exchange is written; what follows moves no row of the input, and groups may span many partitions."""
+    rows = [(g, v, float(v), "x" * 5) for g in ("a", "b", "c") for v in range(400 if g == "b" else 7)]
+    got = running_totals(table(rows, "g string, v int, w double, text string"), ["v"], ["v", "w"], ["g"], partitions=9)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    for r in got.collect():
+        assert r["v_before"] == sum(range(r["v"])) and r["w_before"] == float(sum(range(r["v"])))
+
+
+def test_quantiles_compute_their_input_once(spark):
+    """An input that counts its rows as they are made."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(5000).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 10 AS DOUBLE) AS y").mapInArrow(made, "x double, y double")
+    found = {r["feature"]: r["q0"] for r in exact_quantiles(df, ["x", "y"], [0.5]).collect()}
+    assert found == {"x": 2499.5, "y": 4.5} and seen.value == 5000

@@ -188,3 +188,20 @@ def test_encoder_layers(cloud):
         want = np.maximum(want @ w + b, 0)
     got = np.array([r["encoded"] for r in vectors.encode_batch(df, layers).orderBy("id").collect()])
     assert got == pytest.approx(want)
+
+
+def test_a_small_far_group_gets_a_start(table):
+    """One row in five thousand, far from the rest."""
+    from cohortline.operators import kmeans
+
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(5000, 3))
+    points[77] = 400.0
+    df = table([(i, p.tolist()) for i, p in enumerate(points)], "id bigint, embedding array<double>").repartition(4).persist()
+    drawn, weights = kmeans.candidates(df, "id", "embedding", seed=1)
+    assert weights.sum() == 5000 and len(drawn) > 500
+    assert (drawn == 400.0).all(axis=1).any()
+    fit = kmeans.best_fits(df, "id", "embedding", [2], restarts=3, max_iter=20, seed=1)[2]
+    assert sorted(fit.sizes.tolist()) == [1, 4999]
+    assert kmeans._spread(df, "embedding", points[0]) == pytest.approx(points.var(axis=0).mean())
+    df.unpersist()
