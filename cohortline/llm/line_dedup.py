@@ -36,9 +36,9 @@ def allowed(length: np.ndarray, edits: int = EDITS) -> np.ndarray:
 
 
 class Lines:
-    """Non-blank lines of a chunk: row, number in the row, byte range, code points, hash."""
+    """Non-blank lines of a chunk: row, number in the row, byte range; unless ``where_only``, also code points and hash."""
 
-    def __init__(self, chunk):
+    def __init__(self, chunk, where_only: bool = False):
         data, at = chunk.data, chunk.offsets
         breaks = np.flatnonzero(data == 10)
         starts = np.unique(np.concatenate([at[:-1][np.diff(at) > 0], breaks + 1]))
@@ -50,6 +50,8 @@ class Lines:
         seen = np.concatenate([[0], np.cumsum(VISIBLE[data])])
         some = seen[ends] > seen[starts]
         self.row, self.number, self.start, self.end = self.row[some], self.number[some], starts[some], ends[some]
+        if where_only:
+            return
         self.lead = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])
         self.point = np.searchsorted(self.lead, self.start)
         self.length = np.searchsorted(self.lead, self.end) - self.point
@@ -74,9 +76,10 @@ def segment(length: np.ndarray, edits: int, number: int) -> tuple[np.ndarray, np
     return number * base + np.maximum(0, number - short), base + (number >= short)
 
 
-def signatures(lines: Lines, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and line positions: own segments, and substrings that similar lines of the same or smaller length index."""
-    keys, which = [], []
+def signatures(lines: Lines, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, line positions, and 0 for an own segment (the index) or 1 for a substring that only probes: what similar lines
+    of the same or smaller length index."""
+    keys, which, probes = [], [], []
     for gap in range(edits + 1):
         for t in range(max(1, gap), edits + 1):
             own = np.flatnonzero((lines.length > gap) & (allowed(lines.length - gap, edits) == t))
@@ -97,9 +100,10 @@ def signatures(lines: Lines, edits: int) -> tuple[np.ndarray, np.ndarray]:
                     code = (short[ok] * 64 + t * 8 + i).astype(np.uint64)
                     keys.append(mix(piece ^ mix(code + np.uint64(1))))
                     which.append(at)
+                    probes.append(((low + step)[ok] != start[ok]) | (gap > 0))
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(which)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8)
+    return np.concatenate(keys), np.concatenate(which), np.concatenate(probes).astype(np.int8)
 
 
 def _places(docs: DataFrame) -> DataFrame:
@@ -120,17 +124,17 @@ def _places(docs: DataFrame) -> DataFrame:
 
 
 def _index(docs: DataFrame, edits: int) -> DataFrame:
-    """``(segment, line)``, each pair once per chunk."""
+    """``(segment, line, probe)``, each line once per chunk."""
 
     def run(batches):
         for batch in batches:
             for chunk in chunks(batch.column("text"), VISIBLE):
                 lines = Lines(chunk)
                 lines.pick(np.unique(lines.hash, return_index=True)[1])
-                keys, which = signatures(lines, edits)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(signed(lines.hash[which]))], names=["segment", "line"])
+                keys, which, probes = signatures(lines, edits)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(signed(lines.hash[which])), pa.array(probes)], names=["segment", "line", "probe"])
 
-    return docs.select("text").mapInArrow(run, "segment long, line long")
+    return docs.select("text").mapInArrow(run, "segment long, line long, probe byte")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -149,29 +153,30 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_segments(index: DataFrame) -> DataFrame:
-    """Rows of ``(segment, line)`` whose segment more than one line has. One exchange; runs of equal segments pass by in
-    order, and only the last row is held."""
+    """Rows of ``(segment, line, probe)`` whose segment more than one line has, a line once, as index if it is that. One
+    exchange; runs of equal segments pass by in order, and only the last row is held."""
+    names = ["segment", "line", "probe"]
 
     def run(batches):
         last, open_ = None, False
         for batch in batches:
-            seg, line = batch.column("segment").to_numpy(), batch.column("line").to_numpy()
+            seg, line, probe = (batch.column(c).to_numpy() for c in names)
             if last is not None:
-                seg, line = np.append(last[0], seg), np.append(last[1], line)
+                seg, line, probe = np.append(last[0], seg), np.append(last[1], line), np.append(last[2], probe)
             if not len(seg):
                 continue
             new = np.append(True, (np.diff(seg) != 0) | (np.diff(line) != 0))
-            seg, line = seg[new], line[new]
+            seg, line, probe = seg[new], line[new], probe[new]
             same = seg[1:] == seg[:-1]
             keep = np.append(False, same) | np.append(same, False)
             keep[0] |= open_
-            last, open_ = (seg[-1:], line[-1:]), bool(keep[-1])
+            last, open_ = (seg[-1:], line[-1:], probe[-1:]), bool(keep[-1])
             # The last row waits for the next batch; if it is known to be shared, that is remembered.
-            yield pa.RecordBatch.from_arrays([pa.array(seg[:-1][keep[:-1]]), pa.array(line[:-1][keep[:-1]])], names=["segment", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in (seg, line, probe)], names=names)
         if last is not None and open_:
-            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], names=["segment", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
 
-    return dealt_by(index, "segment", "line").mapInArrow(run, "segment long, line long")
+    return dealt_by(index, "segment", "line", "probe").mapInArrow(run, "segment long, line long, probe byte")
 
 
 def within_edits(a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
@@ -235,7 +240,7 @@ def _verify(batches, edits: int):
     """Links ``(a, b)`` from rows sorted by ``tile_pair``; all pairs of many tiles are verified in one go."""
 
     def links(part: pa.Table):
-        tile, side = part.column("tile_pair").to_numpy(), part.column("side").to_numpy()
+        tile, side, probe = (part.column(c).to_numpy() for c in ("tile_pair", "side", "probe"))
         names = part.column("line").to_numpy()
         content = [np.frombuffer(c.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for c in part.column("content").to_pylist()]
         length = np.array([len(c) for c in content])
@@ -244,12 +249,12 @@ def _verify(batches, edits: int):
         left, right = [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if b - a == 2:
-                if side[a] != side[a + 1] or side[a] == 2:
+                if (side[a] != side[a + 1] or side[a] == 2) and not (probe[a] and probe[a + 1]):
                     left.append(np.array([a]))
                     right.append(np.array([a + 1]))
                 continue
             i, j = np.triu_indices(b - a, 1)
-            use = (side[a + i] != side[a + j]) | (side[a + i] == 2)
+            use = ((side[a + i] != side[a + j]) | (side[a + i] == 2)) & ((probe[a + i] & probe[a + j]) == 0)
             left.append(a + i[use])
             right.append(a + j[use])
         i, j = (np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for v in (left, right))
@@ -292,10 +297,13 @@ def _windows(tile: np.ndarray, rows: int):
 def line_links(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """Verified links ``(a, b)`` between hashes of different lines that connect all similar lines."""
     shared = cut_lineage(shared_segments(_index(docs, edits)))
-    buckets = shared.groupBy("segment").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("line")).alias("members"))
+    # A segment that lines only probe has no pair of index and probe. Buckets with the same lines in the same parts meet once.
+    buckets = shared.groupBy("segment").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("line", "probe")).alias("members"), F.min("probe").alias("least")
+    ).where("least = 0")
     once = buckets.groupBy("size", "members").agg(F.min("segment").alias("segment"))
     members = shared.join(once.select("segment", "size"), "segment")
-    dealt = cut_lineage(tiled(members, "segment", "size", TILE, node="line").select("tile_pair", "side", "line"))
+    dealt = cut_lineage(tiled(members, "segment", "size", TILE, node="line").select("tile_pair", "side", "line", "probe"))
     texts = _texts(docs).join(dealt.select("line").distinct(), "line").groupBy("line").agg(F.any_value("content").alias("content"))
     rows = dealt_by(dealt.join(texts, "line"), "tile_pair")
     return rows.mapInArrow(lambda batches: _verify(batches, edits), "a long, b long")
@@ -306,7 +314,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", edit
     every row with such lines; ``key`` is a hash of id and text. Equal rows are one: ``removed`` is that of the first copy,
     and of the others all lines go, which are ``known``."""
     keyed = docs.select(F.col(id).alias("doc"), F.xxhash64(id, text).alias("key"), F.col(text).alias("text"))
-    places = _places(keyed)
+    places = cut_lineage(_places(keyed))
     place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "key", "number")
     firsts = places.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times"))
     classes = components(line_links(keyed, edits)).toDF("line", "class")
@@ -359,5 +367,5 @@ def _counts(batches, text: str):
     for batch in batches:
         counts = [np.zeros(0, np.int64)]
         for chunk in chunks(batch.column(text), VISIBLE):
-            counts.append(np.bincount(Lines(chunk).row, minlength=chunk.rows))
+            counts.append(np.bincount(Lines(chunk, where_only=True).row, minlength=chunk.rows))
         yield [pa.array(np.concatenate(counts).astype(np.int64))]
