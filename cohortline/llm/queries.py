@@ -126,8 +126,9 @@ FROM x
 )
 def op4_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
-    warc_store.write_archive(table(spark, sf_dir, "pages"), path, revisit_from=0)
-    read = warc_store.read_records(spark, path)
+    pages = table(spark, sf_dir, "pages")
+    warc_store.write_archive(pages, path, revisit_from=0)
+    read = warc_store.read_records(spark, path, pages.schema["page_id"].dataType.simpleString())
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

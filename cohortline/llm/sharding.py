@@ -5,7 +5,7 @@ A new version of the map moves only the slots that it must: every shard keeps it
 the rest goes, largest first, to the least loaded shard.
 
 Defined results: a NULL text has no bytes and size 1; a NULL key hashes like any value; repeated rows are rows of their
-own; an empty table gives no rows; a column of the input with the name of a result column is replaced.
+own, in one slot if key and text are equal; an empty table gives no rows; a column of the input with the name of a result column is replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortline.llm.frames import without
+from cohortline.llm.frames import shared_folder, without
 
 SLOTS = 4096
 
@@ -106,7 +106,8 @@ def store_map(edited: DataFrame, path: str) -> None:
 
 
 def stored_map(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("version", "virtual_slot", "shard")
+    """All stored versions."""
+    return spark.read.schema("virtual_slot int, shard int, version int").parquet(path).select("version", "virtual_slot", "shard")
 
 
 def assign(slotted: DataFrame, current: DataFrame) -> DataFrame:
@@ -127,9 +128,17 @@ def with_positions(assigned: DataFrame, order: Sequence[str]) -> DataFrame:
     return placed.withColumn("slot", (F.col("_offset") + F.col("_rank")).cast("long")).drop("_offset", "_rank")
 
 
-def shard_records(docs: DataFrame, shards: int = 16, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """All records with ``size``, ``text_crc32``, ``virtual_slot``, ``shard``: version 1 of the map edited once for the
-    bytes that the slots really hold."""
+def shard_records(
+    docs: DataFrame, shards: int = 16, keys: Sequence[str] = ("doc_id",), text: str = "text", path: str | None = None
+) -> DataFrame:
+    """All records with ``size``, ``text_crc32``, ``virtual_slot``, ``shard``.
+
+    Version 1 of the map deals the slots out in turn, version 2 is edited for the bytes that the slots really hold. Both are
+    stored under ``path`` (a new shared folder by default), and records are assigned from the latest stored one.
+    """
+    spark = docs.sparkSession
+    path = path or shared_folder(spark, "shard-map")
     slotted = with_slots(docs, keys, text)
-    current = edited_map(first_map(docs.sparkSession, shards), slot_bytes(slotted), shards)
-    return assign(slotted, current)
+    store_map(first_map(spark, shards), path)
+    store_map(edited_map(latest(stored_map(spark, path)), slot_bytes(slotted), shards), path)
+    return assign(slotted, latest(stored_map(spark, path)))

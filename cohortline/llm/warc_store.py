@@ -87,7 +87,7 @@ def parsed_headers(spark: SparkSession, path: str, id_type: str = "bigint") -> D
     """The fields of every stored header block, with the block itself."""
     heads = spark.read.schema("sha256 string, header string").parquet(f"{path}/headers")
     field = lambda name, value="([^\r\n]*)": F.regexp_extract("header", f"\r\n{name}: {value}\r\n", 1)
-    page = lambda name: field(name, "<urn:page:([^>]*)>").try_cast(id_type)
+    page = lambda name: F.nullif(field(name, "<urn:page:([^>]*)>"), F.lit("")).try_cast(id_type)
     return heads.select(
         "sha256", "header", page("WARC-Record-ID").alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"),
         field("WARC-Payload-Digest", "sha1:([A-Z2-7]*)").alias("header_sha1"), page("WARC-Refers-To").alias("refers_to"),
@@ -95,15 +95,11 @@ def parsed_headers(spark: SparkSession, path: str, id_type: str = "bigint") -> D
 
 
 def read_records(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """Every record's fields, size and digest, the last two of the stored payload. Payloads are read and measured where
-    they lie; only their digests and sizes are joined."""
-    facts = verified_payloads(spark, path).select(
-        "sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")
-    )
-    heads = parsed_headers(spark, path, id_type)
-    return heads.join(facts, "sha256").select(
-        "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "sha256",
-        (F.col("header_sha1") == F.col("payload_digest")).alias("digest_matches"),
+    """Every record's fields, with size and digest of the payload that it was rebuilt with."""
+    digest = base32_sha1(F.col("payload"))
+    return reconstruct(spark, path, id_type).select(
+        "page_id", "url", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to", "sha256",
+        (F.col("header_sha1") == digest).alias("digest_matches"),
     )
 
 
@@ -112,4 +108,4 @@ def reconstruct(spark: SparkSession, path: str, id_type: str = "bigint") -> Data
     whole = parsed_headers(spark, path, id_type).join(verified_payloads(spark, path), "sha256")
     end = F.encode(F.lit(CRLF + CRLF), "UTF-8")
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return whole.select("page_id", "url", "record_type", "refers_to", "payload", F.concat(F.encode("header", "UTF-8"), block, end).alias("record"))
+    return whole.select("page_id", "url", "record_type", "refers_to", "sha256", "header_sha1", "payload", F.concat(F.encode("header", "UTF-8"), block, end).alias("record"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortline.llm import embedding_forest, frames, mixing, sharding, warc_store
+from test_text_operators import contamination, jaccard_classes
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -269,3 +270,65 @@ def test_pipeline_stages(spark):
     assert sharded.select(*docs.columns).exceptAll(before).count() == 0 and sharded.count() == before.count()
     whole = corpus_pipeline.run(spark, SMALL)
     assert Counter(r["doc_id"] for r in whole.collect()) == Counter(r["doc_id"] for r in sharded.collect())
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """Which documents the second and third stage keep, on what the stage before kept; what the last two promise."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = frames.cut_lineage(stages["toxicity"](spark, docs, SMALL))
+    rows = sorted((r["doc_id"], r["text"]) for r in kept.collect())
+    classes = {i: c for (i, c, _), n in jaccard_classes(rows).items() for _ in range(n)}
+    single = frames.cut_lineage(stages["near_duplicates"](spark, kept, SMALL))
+    ids = {r["doc_id"] for r in single.collect()}
+    assert ids == set(classes.values()) and single.count() == len(ids)
+    items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    judged = contamination([r for r in rows if r[0] in ids], items)
+    clean = frames.cut_lineage(stages["decontamination"](spark, single, SMALL))
+    assert {r["doc_id"] for r in clean.collect()} == {key[0] for key in judged if key[-1] == "False"}
+    mixed = frames.cut_lineage(stages["mixing"](spark, clean, SMALL))
+    times = Counter(r["doc_id"] for r in mixed.collect())
+    assert set(times) <= {r["doc_id"] for r in clean.collect()} and max(times.values()) <= 2
+    placed = stages["sharding"](spark, mixed, SMALL).collect()
+    loads, places = Counter(), {}
+    for r in placed:
+        loads[r["shard"]] += len((r["text"] or "").encode()) + 1
+        places.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert Counter(r["doc_id"] for r in placed) == times
+
+
+def test_pipeline_keeps_columns_that_clash(spark, messy, nothing):
+    """Columns named like results, with dots, in another case; NULLs, empty and long texts, repeated rows; an empty table."""
+    names = [*messy.columns, "toxic", "contaminated", "a.b", "TEXT_crc32", "_sum"]
+    for rows in (messy, nothing):
+        docs = rows.select("*", F.lit("mine").alias("toxic"), F.lit(7).alias("contaminated"), F.lit("dot").alias("a.b"), F.lit(1).alias("TEXT_crc32"), F.lit(2).alias("_sum"))
+        assert docs.columns == names
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = frames.cut_lineage(stage(spark, docs, SMALL))
+            assert docs.columns == names
+        assert docs.where("toxic <> 'mine' OR contaminated <> 7 OR `a.b` <> 'dot' OR size <> -1").isEmpty()
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+        assert last.count() == docs.count() and len({c.lower() for c in last.columns}) == len(last.columns)
+
+
+def test_shards_follow_the_stored_map(spark):
+    path = frames.shared_folder(spark, "map")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    placed = sharding.shard_records(docs, 8, path=path)
+    stored = sharding.stored_map(spark, path)
+    assert {r["version"]: r["count"] for r in stored.groupBy("version").count().collect()} == {1: sharding.SLOTS, 2: sharding.SLOTS}
+    shard = {r["virtual_slot"]: r["shard"] for r in stored.where("version = 2").collect()}
+    rows = placed.collect()
+    assert all(shard[r["virtual_slot"]] == r["shard"] for r in rows)
+    import zlib
+
+    assert all(r["text_crc32"] == zlib.crc32((r["text"] or "").encode()) and r["size"] == len((r["text"] or "").encode()) + 1 for r in rows)
+
+
+def test_page_ids_may_be_texts(spark):
+    path = frames.shared_folder(spark, "named")
+    pages = spark.createDataFrame([("b", "u", "x"), ("a", "u", "x"), ("c", "u", None)], "page_id string, url string, html string")
+    warc_store.write_archive(pages, path)
+    found = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc_store.read_records(spark, path, "string").collect()}
+    assert found == {"a": ("response", None, 1), "b": ("revisit", "a", 1), "c": ("response", None, 0)}
