@@ -44,9 +44,9 @@ from cohortline.session import cut_lineage
 FOLDER = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
-CHUNK_TEXT = 8 << 20
+CHUNK_TEXT = 2 << 20
 #: Segments a worker keeps, and segments joined into one call of the tokenizers.
-STORED = 300_000
+STORED = 600_000
 JOINED = 200
 #: Links of a group from which its pairs are counted by different ids.
 LARGE_GROUP = 4096
