@@ -9,7 +9,7 @@ from functools import partial
 import numpy as np
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -175,15 +175,6 @@ def fit_preprocessor(
     )
 
 
-def embed_rows(
-    df: DataFrame, preprocessor: Preprocessor, dims: int = 16, alias: str = "embedding"
-) -> DataFrame:
-    """Dense row embedding: the preprocessed features projected on their principal components."""
-    rows = preprocessor.transform(df, "_features")
-    model = PCA(k=dims, inputCol="_features", outputCol="_pca").fit(rows)
-    return model.transform(rows).select(*df.columns, vector_to_array("_pca", "float32").alias(alias))
-
-
 # ---------------------------------------------------------------- training and scoring
 
 

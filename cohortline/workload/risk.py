@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.operators import clusters, features, metrics, models, vectors
+from cohortline.operators import clusters, embedding, features, metrics, models, vectors
 from cohortline.operators.models import FEATURE_SETS
 from cohortline.session import cut_lineage
 from cohortline.sources.schemas import ID_COLUMNS, LABEL
@@ -189,7 +189,7 @@ def top_features(c: Campus) -> DataFrame:
 @query()
 def embed_rows(c: Campus) -> DataFrame:
     train, test = labelled_split(c)
-    embedded = models.embed_rows(test, models.fit_preprocessor(train), dims=16)
+    embedded = embedding.fit_embedding(train, models.fit_preprocessor(train), dims=16).transform(test)
     return embedded.select(*ID_COLUMNS, F.to_json("embedding").alias("embedding"))
 
 
@@ -197,7 +197,7 @@ def embed_rows(c: Campus) -> DataFrame:
 def model_grid(c: Campus) -> DataFrame:
     """Embed all rows, group the last terms, place every term, then compare feature sets and models."""
     train, test = labelled_split(c)
-    embedded = cut_lineage(models.embed_rows(train.unionByName(test), models.fit_preprocessor(train), dims=16))
+    embedded = cut_lineage(embedding.embed_rows(train.unionByName(test), models.fit_preprocessor(train), dims=16))
     last = features.last_term(embedded)
     flagged = clusters.outlier_flag(vectors.scale_vectors(last, vectors.fit_scale(last)), "embedding_scaled")
     search = clusters.choose_k(clusters.inliers(flagged), "student_id")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.operators import models
+from cohortline.operators import embedding, models
 from cohortline.operators.features import last_term
 from cohortline.plans import jobs
 from cohortline.session import cut_lineage
@@ -90,7 +90,7 @@ def test_all_jobs_in_a_row(spark, raw, tmp_path):
     assert made["encoded_pool"].where("avg_score IS NULL").isEmpty() and made["encoded_last"].count() == 40
 
     prepared = models.fit_preprocessor(made["pool"])
-    embedded = cut_lineage(models.embed_rows(made["pool"], prepared, dims=4))
+    embedded = cut_lineage(embedding.embed_rows(made["pool"], prepared, dims=4))
     last = last_term(embedded)
     grouped = jobs.cluster_tables(last, ks=[2, 3], restarts=1)
     assert grouped["assigned"].count() == 40 and grouped["coordinates"].count() == 40
