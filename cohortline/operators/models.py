@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.ml import Model, Pipeline, PipelineModel
@@ -18,10 +18,11 @@ from cohortline.functions import fill_unknown, map_code
 from cohortline.functions.codes import GENDER_CODES, SEMESTER_CODES
 from cohortline.operators.boosting import Boosting, fit_boosting
 from cohortline.operators.clusters import OUTLIER
-from cohortline.operators.features import column_medians, mean_std
+from cohortline.operators.features import column_medians, labelled_only, mean_std
 from cohortline.operators.forests import Forest, fit_forest
 from cohortline.operators.metrics import evaluate
 from cohortline.operators.vectors import VectorScale, fit_scale, scale_vectors
+from cohortline.session import cut_lineage
 from cohortline.sources.schemas import CATEGORICAL_FEATURES, ID_COLUMNS, LABEL, NUMERIC_FEATURES
 
 # Model settings of the compared runs.
@@ -274,6 +275,74 @@ def grid_predictions(
     return scored
 
 
+# ---------------------------------------------------------------- the compared runs
+
+# Settings and target of the baseline run and of the comparison.
+BASELINE_ITERATIONS, COMPARED_ITERATIONS, COMPARED_TREES, COMPARED_LEAF, TARGET_AUC = 2000, 1000, 100, 1, 0.80
+RAW_NUMERIC = tuple(c for c in NUMERIC_FEATURES if not c.startswith("bmi_"))
+RAW_CODES = ("gender_encoded", "semester_encoded")
+
+Fit = Callable[[DataFrame, str], Model | Forest | Boosting]
+
+
+@dataclass(frozen=True)
+class Run:
+    """One model on one feature set."""
+
+    features: FeatureSet
+    fit: Fit
+
+
+BASELINE_RUNS = {
+    "logistic_regression": Run(FEATURE_SETS["baseline_only"], partial(logistic_regression, max_iter=BASELINE_ITERATIONS)),
+    "random_forest": Run(FEATURE_SETS["baseline_only"], random_forest),
+    "boosted_trees": Run(FEATURE_SETS["baseline_only"], boosted_trees),
+}
+
+
+def _compared_forest(train: DataFrame, label: str = LABEL, trees: int = COMPARED_TREES) -> Forest:
+    return fit_forest(train, label, trees, COMPARED_LEAF, whole=True)
+
+
+_RAW, _VECTOR, _BOTH = FeatureSet(RAW_NUMERIC + RAW_CODES), FeatureSet(vector="embedding"), FeatureSet(RAW_NUMERIC + RAW_CODES, vector="embedding")
+_compared_regression = partial(logistic_regression, max_iter=COMPARED_ITERATIONS)
+COMPARED_RUNS = {
+    "raw_random_forest": Run(_RAW, _compared_forest),
+    "raw_logistic_regression": Run(_RAW, _compared_regression),
+    "embedding_random_forest": Run(_VECTOR, _compared_forest),
+    "embedding_logistic_regression": Run(_VECTOR, _compared_regression),
+    "combined_random_forest": Run(_BOTH, _compared_forest),
+}
+
+
+def run_models(
+    train: DataFrame, test: DataFrame, runs: Mapping[str, Run], label: str = LABEL, top: int = TOP_FEATURES
+) -> tuple[DataFrame, DataFrame]:
+    """Scored test rows and the ``top`` features of every run, each with the column ``model``.
+
+    Each feature set is prepared once, and its training rows are written once, however many runs share it.
+    """
+    scored, important = [], []
+    for features in dict.fromkeys(run.features for run in runs.values()):
+        prepared = fit_preprocessor(train, features.numeric, features.categorical, features.vector)
+        ready = cut_lineage(prepared.transform(train).select("features", label))
+        rows = prepared.transform(test)
+        for name, run in runs.items():
+            if run.features == features:
+                model = run.fit(ready, label)
+                scored.append(score(model, rows, label=label).select(F.lit(name).alias("model"), "*"))
+                important.append(top_features(model, prepared, train, top).select(F.lit(name).alias("model"), "*"))
+    return reduce(DataFrame.unionByName, scored), reduce(DataFrame.unionByName, important)
+
+
+def comparison_rows(base: DataFrame, embeddings: DataFrame, dims: int, label: str = LABEL) -> DataFrame:
+    """Labelled rows with coded categories and zeros for a missing vector; numbers filled with the median of all of them."""
+    rows = cut_lineage(coded_categories(labelled_only(base, label)))
+    medians = {r["feature"]: r["median"] or 0.0 for r in column_medians(rows, RAW_NUMERIC).collect()}
+    filled = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))) for c in RAW_NUMERIC})
+    return with_embeddings(filled, embeddings, zero_dims=dims).select(*ID_COLUMNS, *RAW_NUMERIC, *RAW_CODES, "embedding", label)
+
+
 def model_grid(train: DataFrame, test: DataFrame, **options) -> DataFrame:
     """Metrics of the whole grid, from one evaluation over all scored rows."""
     return evaluate(grid_predictions(train, test, **options), by=["feature_set", "model"])

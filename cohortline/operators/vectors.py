@@ -184,52 +184,11 @@ def blockwise(
     return l_rows.groupBy("_l", "_r").cogroup(r_rows.groupBy("_l", "_r")).applyInPandas(work, schema)
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
+def unit_rows(rows: np.ndarray) -> np.ndarray:
     norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return rows / np.where(norm > 0, norm, 1.0)
 
 
-def _most_similar(q_keys: np.ndarray, queries: np.ndarray, b_keys: np.ndarray, bank: np.ndarray) -> pd.DataFrame:
-    """Best bank row per query, the query itself excluded; lowest key on a tie to 12 digits."""
-    order = np.argsort(b_keys, kind="stable")
-    b_keys, bank = b_keys[order], _unit(bank[order])
-    similar = np.round(_unit(queries) @ bank.T, 12)
-    similar[q_keys[:, None] == b_keys[None, :]] = -np.inf
-    best = similar.argmax(axis=1)
-    top = similar[np.arange(len(best)), best]
-    found = np.isfinite(top)
-    return pd.DataFrame({"key": q_keys[found], "neighbour": b_keys[best][found], "cosine": top[found]})
-
-
-def nearest_neighbour(
-    queries: DataFrame, bank: DataFrame, key: str, vector: str = "embedding", block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Most similar stored vector per row by cosine: exact, columns ``key``, ``neighbour``, ``cosine``.
-
-    Blocks of rows meet blocks of the bank; each pair keeps only its best candidate per row, and the best of these wins.
-    The work is the product of the two sizes; memory is two blocks. Keys are of any type that sorts. A row without a
-    usable vector, or with no other usable vector in the bank, has a NULL neighbour.
-    """
-    kind = dict(queries.dtypes)[key]
-    q = queries.select(F.col(key).alias("key"), F.col(vector).alias("vector"))
-    b = bank.select(F.col(key).cast(kind).alias("key"), F.col(vector).alias("vector"))
-
-    def against_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"key": [], "neighbour": [], "cosine": []})
-        return _most_similar(
-            left["key"].to_numpy(), matrix_of(left["vector"]), right["key"].to_numpy(), matrix_of(right["vector"])
-        )
-
-    schema = f"key {kind}, neighbour {kind}, cosine double"
-    partial = blockwise(q.where(usable("vector")), b.where(usable("vector")), "key", "key", against_block, schema, block_rows)
-    best = F.min(F.struct((-F.col("cosine")).alias("far"), "neighbour")).alias("best")
-    found = partial.groupBy("key").agg(best)
-    return q.select("key").join(found, "key", "left").select(
-        "key", F.col("best.neighbour").alias("neighbour"), (-F.col("best.far")).alias("cosine")
-    )
-
-
 # ---------------------------------------------------------------- given encoder weights
 
 

@@ -1,18 +1,18 @@
-"""Six jobs. Each takes DataFrames and returns DataFrames; only ``run_*`` functions write tables."""
+"""The jobs. Each takes DataFrames and returns DataFrames; only ``run_*`` functions write tables."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.operators import clusters, dynamics, facts, features, identity, models, personas
+from cohortline.operators import clusters, dynamics, embedding, facts, features, identity, metrics, models, personas
 from cohortline.operators.identity import Source
 from cohortline.operators.vectors import fit_scale, scale_vectors
 from cohortline.session import cut_lineage
 from cohortline.sources.reports import build_report
-from cohortline.sources.schemas import FLAG, LABEL, SEMESTER_BASE
+from cohortline.sources.schemas import FLAG, ID_COLUMNS, LABEL, SEMESTER_BASE
 from cohortline.sources.tables import ORDINAL, write_table
 
 
@@ -217,3 +217,86 @@ def risk_tables(
     train, test = (split.where(F.col("split") == name) for name in ("train", "test"))
     predictions = models.grid_predictions(train, test, **grid)
     return {"predictions": predictions, "metrics": models.evaluate(predictions, by=["feature_set", "model"])}
+
+
+def baseline_tables(
+    base: DataFrame,
+    years: Mapping[str, Sequence[str]] = features.BASELINE_YEARS,
+    runs: Mapping[str, models.Run] = models.BASELINE_RUNS,
+) -> dict[str, DataFrame]:
+    """The baseline run: predictions, the strongest features and the metrics by PR-AUC of every model, split by year."""
+    rows = features.labelled_only(features.typed_features(base))
+    split = features.require_splits(cut_lineage(features.year_split(rows, years)), list(years))
+    train, test = (split.where(F.col("split") == name) for name in ("train", "test"))
+    scored, important = models.run_models(train, test, runs)
+    scored = cut_lineage(scored)
+    return {
+        "predictions": scored,
+        "top_features": important,
+        "metrics": metrics.rank_models(cut_lineage(models.evaluate(scored, by=["model"])), "pr_auc", ["model"]),
+    }
+
+
+def compare_tables(
+    base: DataFrame, embeddings: DataFrame, dims: int, runs: Mapping[str, models.Run] = models.COMPARED_RUNS
+) -> dict[str, DataFrame]:
+    """Numbers, embeddings and both against each other on a stratified fifth of the rows; ranked, with a status."""
+    rows = models.comparison_rows(base, embeddings, dims)
+    split = cut_lineage(features.stratified_split(rows, LABEL, ID_COLUMNS))
+    train, test = (split.where(F.col("split") == name) for name in ("train", "test"))
+    scored, _ = models.run_models(train, test, runs)
+    scored = cut_lineage(scored)
+    table = cut_lineage(models.evaluate(scored, by=["model"]))
+    return {"predictions": scored, "ranking": metrics.rank_models(table, "roc_auc", ["model"], target=models.TARGET_AUC)}
+
+
+# ---------------------------------------------------------------- the whole chain
+
+
+def hand_over(spark: SparkSession, made: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Write every table of a job under ``folder`` and give the next job what was written."""
+    for name, df in made.items():
+        write_table(df, f"{folder}/{name}")
+    return {name: spark.read.schema(df.schema).parquet(f"{folder}/{name}") for name, df in made.items()}
+
+
+def run_chain(
+    raw: Mapping[str, DataFrame],
+    root: str,
+    dims: int = 16,
+    baseline: Mapping[str, models.Run] = models.BASELINE_RUNS,
+    compared: Mapping[str, models.Run] = models.COMPARED_RUNS,
+    search: Mapping | None = None,
+    grid: Mapping | None = None,
+) -> dict[str, dict[str, DataFrame]]:
+    """All jobs in order, from raw tables (with an ordinal column) to risk metrics.
+
+    Every job reads what the jobs before it have written under ``root``, so a broken chain can go on from any of them.
+    """
+    spark = next(iter(raw.values())).sparkSession
+    out: dict[str, dict[str, DataFrame]] = {"identity": hand_over(spark, identity_tables(raw), f"{root}/identity")}
+    report = run_semester_base(raw, f"{root}/semester_base")
+    base = spark.read.schema(SEMESTER_BASE).parquet(f"{root}/semester_base")
+    out["base"] = hand_over(spark, {"report": report}, f"{root}/base")
+    out["features"] = hand_over(spark, feature_tables(base), f"{root}/features")
+    out["baseline"] = hand_over(spark, baseline_tables(base, runs=baseline), f"{root}/baseline")
+
+    fitted = embedding.fit_embedding(out["features"]["pool"], models.fit_preprocessor(out["features"]["pool"]), dims)
+    rows = features.select_features(features.typed_features(base))
+    out["embedding"] = hand_over(spark, {"terms": fitted.transform(rows)}, f"{root}/embedding")
+    terms = out["embedding"]["terms"]
+    vectors = terms.select(*ID_COLUMNS, "embedding")
+    out["comparison"] = hand_over(spark, compare_tables(base, vectors, dims, compared), f"{root}/comparison")
+
+    grouped = cluster_tables(features.last_term(terms), **(search or {}))
+    out["clusters"] = hand_over(spark, grouped, f"{root}/clusters")
+    assigned = out["clusters"]["assigned"]
+    threshold = assigned.agg(F.max("outlier_distance_threshold")).first()[0]
+    placed = clusters.assign_semesters(terms, assigned, threshold)
+    out["terms"] = hand_over(spark, {"assigned": placed}, f"{root}/terms")
+    placed = out["terms"]["assigned"]
+    named = placed.withColumns({"cluster_name": F.lit(None).cast("string"), "risk_label_next_term_numeric": F.col(LABEL)})
+    out["dynamics"] = hand_over(spark, dynamics_tables(named), f"{root}/dynamics")
+    out["personas"] = hand_over(spark, persona_tables(assigned), f"{root}/personas")
+    out["risk"] = hand_over(spark, risk_tables(base, vectors, placed, dims, **(grid or {})), f"{root}/risk")
+    return out

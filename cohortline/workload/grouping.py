@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.operators import clusters, dynamics, personas, vectors
+from cohortline.operators import clusters, dynamics, neighbours, personas, vectors
 from cohortline.operators.clusters import PROFILE_MEANS
 from cohortline.operators.features import last_term
 from cohortline.operators.personas import PERSONA_ORDER
@@ -50,14 +50,14 @@ SELECT key, other AS neighbour, """ + r6("s") + """ AS cosine FROM ranked WHERE
 @query(SQL_NEIGHBOURS)
 def nearest_neighbour(c: Campus) -> DataFrame:
     rows = c.table("embeddings")
-    return rounded(vectors.nearest_neighbour(rows, rows, "vec_id"), "cosine")
+    return rounded(neighbours.nearest_neighbour(rows, rows, "vec_id"), "cosine")
 
 
 @query(SQL_NEIGHBOURS)
 def nearest_neighbour_blocks(c: Campus) -> DataFrame:
     """The same with many small blocks."""
     rows = c.table("embeddings")
-    return rounded(vectors.nearest_neighbour(rows, rows, "vec_id", block_rows=200), "cosine")
+    return rounded(neighbours.nearest_neighbour(rows, rows, "vec_id", block_rows=200), "cosine")
 
 
 ENCODED = 8

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from cohortline.operators import clusters, embedding, features, metrics, models, vectors
 from cohortline.operators.models import FEATURE_SETS
+from cohortline.plans import jobs
 from cohortline.session import cut_lineage
 from cohortline.sources.schemas import ID_COLUMNS, LABEL
 from cohortline.workload.campus import DIMS, SPLIT_YEARS, SQL_BASE, SQL_EMBEDDED_TERMS, SQL_SCORED, Campus, r
-from cohortline.workload.preparation import feature_rows, rounded
+from cohortline.workload.preparation import SQL_FEATURES, feature_rows, rounded
 from cohortline.workload.registry import query
 
 TERM_KEYS = ["student_id", "school_year", "semester"]
@@ -165,6 +166,34 @@ def _scored(c: Campus, fit) -> DataFrame:
     return models.score(model, prepared.transform(test))
 
 
+SQL_TEST_ROWS = f"SELECT {', '.join(ID_COLUMNS)}, CAST(risk_label_next_term AS INTEGER) AS label FROM split WHERE split = 'test' AND risk_label_next_term IS NOT NULL"
+
+
+@query(f"{SQL_FEATURES}, tested AS ({SQL_TEST_ROWS}) SELECT *, true AS decided_by_half, true AS probability FROM tested")
+def score(c: Campus) -> DataFrame:
+    """Every test row once, with its label, and whether decision and score fit together."""
+    proba = F.col("pred_proba")
+    return _scored(c, models.logistic_regression).select(
+        *ID_COLUMNS,
+        "label",
+        (F.col("pred_label") == (proba > 0.5).cast("int")).alias("decided_by_half"),
+        ((proba >= 0) & (proba <= 1)).alias("probability"),
+    )
+
+
+@query()
+def baseline_run(c: Campus) -> DataFrame:
+    return jobs.baseline_tables(c.base_table, SPLIT_YEARS)["metrics"]
+
+
+@query()
+def model_comparison(c: Campus) -> DataFrame:
+    """The embedding is fitted without labels on all terms; then five models compete."""
+    rows = features.select_features(features.typed_features(c.base_table))
+    vectors = embedding.embed_rows(rows, models.fit_preprocessor(rows), dims=16).select(*ID_COLUMNS, "embedding")
+    return jobs.compare_tables(c.base_table, vectors, 16)["ranking"]
+
+
 @query()
 def logistic_regression(c: Campus) -> DataFrame:
     return _scored(c, models.logistic_regression)

@@ -124,6 +124,50 @@ def test_all_jobs_in_a_row(spark, raw, tmp_path):
     assert back["seed"] == 42 and len(back["splits"]) == 3 and back["years"] == YEARS
 
 
+def test_chain_from_csv_to_risk_metrics(spark, raw, tmp_path):
+    """Text files in, every hand-over written, each job on what was written; results equal the jobs called by hand."""
+    layout = {name: (str(tmp_path / "in" / name), [c for c in df.columns if c != ORDINAL]) for name, df in raw.items()}
+    for name, (path, columns) in layout.items():
+        tables.write_table(raw[name].orderBy(ORDINAL).select(*columns), path, fmt="csv")
+    back = {name: tables.read_raw(spark, path, columns, fmt="csv", with_ordinal=True) for name, (path, columns) in layout.items()}
+    few = {
+        "raw_random_forest": models.Run(models.COMPARED_RUNS["raw_random_forest"].features, lambda t, label: models._compared_forest(t, label, trees=8)),
+        "embedding_logistic_regression": models.COMPARED_RUNS["embedding_logistic_regression"],
+    }
+    out = jobs.run_chain(
+        back, str(tmp_path / "out"), dims=3,
+        baseline={"logistic_regression": models.BASELINE_RUNS["logistic_regression"]},
+        compared=few,
+        search={"ks": [2, 3], "restarts": 1},
+        grid={"feature_sets": {"all": models.FEATURE_SETS["baseline_plus_embedding"]}, "models": {"logistic_regression": models.logistic_regression}},
+    )
+    assert out["base"]["report"].first()["row_count"] == 320
+    by_hand = jobs.semester_base_of(raw)
+    written = spark.read.schema(SEMESTER_BASE).parquet(str(tmp_path / "out" / "semester_base"))
+    assert written.count() == 320 and written.select(*by_hand.columns).exceptAll(by_hand).isEmpty()
+    assert out["identity"]["student_master"].exceptAll(jobs.identity_tables(raw)["student_master"]).isEmpty()
+    ranking = out["comparison"]["ranking"].orderBy("rank").collect()
+    assert {r["model"] for r in ranking} == set(few) and "BEST" in ranking[0]["status"] and ranking[0]["roc_auc"] >= ranking[1]["roc_auc"]
+    labels = [r[0] for r in by_hand.where(f"{LABEL} IS NOT NULL").select(LABEL).collect()]
+    tested = sum(-(-labels.count(v) // 5) for v in (0, 1))
+    assert {r["test_rows"] for r in ranking} == {tested} and {r["positive_rows"] for r in ranking} == {-(-labels.count(1) // 5)}
+    assert out["baseline"]["predictions"].count() == 40 and out["baseline"]["top_features"].count() > 3
+    assert out["risk"]["metrics"].first()["test_rows"] == 40
+    assert out["terms"]["assigned"].count() == 320 and out["personas"]["assignment"].count() == 40
+
+
+def test_comparison_rows_fill_with_medians(spark, table):
+    columns = [f"{c} double" for c in models.RAW_NUMERIC]
+    key = f"student_id string, school_year string, semester string, term_order int, gender string, {', '.join(columns)}, {LABEL} int"
+    row = lambda i, v, gender, label: (f"s{i}", "y", "2" if i else "1", i, gender, *([v] * len(columns)), label)
+    base = table([row(0, 1.0, "女", 0), row(1, None, "男", 1), row(2, 4.0, None, 0), row(3, 9.0, "男", None)], key)
+    vectors = table([("s0", "y", "1", 0, [0.5, 1.5])], "student_id string, school_year string, semester string, term_order int, embedding array<float>")
+    got = {r["student_id"]: r for r in models.comparison_rows(base, vectors, 2).collect()}
+    assert set(got) == {"s0", "s1", "s2"} and got["s1"]["avg_score"] == 2.5
+    assert (got["s0"]["gender_encoded"], got["s0"]["semester_encoded"], got["s1"]["semester_encoded"]) == (1, 0, 1)
+    assert got["s0"]["embedding"] == [0.5, 1.5] and got["s2"]["embedding"] == [0.0, 0.0]
+
+
 # ---------------------------------------------------------------- sources
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.operators import clusters, vectors
+from cohortline.operators import clusters, neighbours, vectors
 
 DIMS = 6
 
@@ -71,10 +71,10 @@ def test_unusable_vectors_have_no_neighbour_and_no_distance(table):
     nan = float("nan")
     rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [nan, 1.0]), ("d", None), ("e", [0.0, 1.0])]
     df = table(rows, "id string, embedding array<float>")
-    got = {r["key"]: r["neighbour"] for r in vectors.nearest_neighbour(df, df, "id").collect()}
+    got = {r["key"]: r["neighbour"] for r in neighbours.nearest_neighbour(df, df, "id").collect()}
     assert got == {"a": "b", "b": "a", "c": None, "d": None, "e": "b"}
     alone = df.where("id = 'a'")
-    assert [tuple(r) for r in vectors.nearest_neighbour(alone, alone, "id").collect()] == [("a", None, None)]
+    assert [tuple(r) for r in neighbours.nearest_neighbour(alone, alone, "id").collect()] == [("a", None, None)]
     flagged = {r["id"]: r["is_outlier"] for r in clusters.outlier_flag(df).collect()}
     assert flagged["c"] is None and flagged["d"] is None and flagged["a"] is not None
 
@@ -90,12 +90,63 @@ def test_nearest_neighbour(cloud, limit):
     unit = points / np.linalg.norm(points, axis=1, keepdims=True)
     similar = np.round(unit @ unit.T, 12)
     np.fill_diagonal(similar, -np.inf)
-    got = {r["key"]: (r["neighbour"], r["cosine"]) for r in vectors.nearest_neighbour(df, df, "id", block_rows=limit).collect()}
+    got = {r["key"]: (r["neighbour"], r["cosine"]) for r in neighbours.nearest_neighbour(df, df, "id", block_rows=limit).collect()}
     assert len(got) == len(points)
     for i, row in enumerate(similar):
         assert got[i] == (row.argmax(), pytest.approx(row.max()))
 
 
+def neighbours_by_hand(queries, bank):
+    """Best other key per row: cosine to 12 digits, then the lowest key."""
+    out = {}
+    for key, v in queries:
+        found = []
+        for other, w in bank:
+            if v is not None and w is not None and other != key and np.isfinite(v).all() and np.isfinite(w).all():
+                norm = np.linalg.norm(v) * np.linalg.norm(w)
+                found.append((-np.round(np.dot(v, w) / norm, 12) if norm else 0.0, other))
+        best = min(found, default=(None, None))
+        out[key] = (best[1], None if best[0] is None else pytest.approx(-best[0], abs=1e-11))
+    return out
+
+
+def test_neighbours_by_cells_of_odd_rows(table):
+    """Equal vectors, opposite ones, zeros, missing ones, text keys, a bank of other rows."""
+    rng = np.random.default_rng(5)
+    rows = [(f"k{i:03d}", [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(150)]
+    rows += [("z1", [0.0, 0.0, 0.0]), ("z2", [0.0, 0.0, 0.0]), ("n", None), ("x", [float("inf"), 0.0, 1.0])]
+    df = table(rows, "id string, embedding array<double>")
+    answers = lambda found: {r["key"]: (r["neighbour"], r["cosine"]) for r in found.collect()}
+    assert answers(neighbours.nearest_neighbour(df, df, "id", block_rows=8)) == neighbours_by_hand(rows, rows)
+    bank = rows[:40] + rows[-4:]
+    other = table(bank, "id string, embedding array<double>")
+    assert answers(neighbours.nearest_neighbour(df, other, "id", block_rows=8)) == neighbours_by_hand(rows, bank)
+    same = table([(i, [1.0, 2.0]) for i in range(40)], "id long, embedding array<double>")
+    assert {k: v[0] for k, v in answers(neighbours.nearest_neighbour(same, same, "id", block_rows=8)).items()} == {0: 1} | {i: 0 for i in range(1, 40)}
+    none = table([], "id long, embedding array<double>")
+    assert {v[0] for v in answers(neighbours.nearest_neighbour(same, none, "id", block_rows=8)).values()} == {None}
+
+
+def test_fewer_pairs_than_quadratic_on_groups(spark):
+    """Vectors in groups: ten times the rows, far less than a hundred times the pairs."""
+    pairs = {}
+    for n in (2000, 20_000):
+        rng = np.random.default_rng(6)
+        centres = rng.normal(size=(n // 50, 16))
+        points = np.repeat(centres, 50, axis=0) + rng.normal(scale=0.05, size=(n, 16))
+        df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, embedding array<double>")
+        counter = spark.sparkContext.accumulator(0)
+        found = neighbours.nearest_neighbour(df, df, "id", block_rows=500, counter=counter).collect()
+        pairs[n] = counter.value
+        unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+        for r in found[:300]:
+            similar = np.round(unit @ unit[r["key"]], 12)
+            similar[r["key"]] = -np.inf
+            assert r["neighbour"] == similar.argmax()
+    print("pairs compared", pairs)
+    assert pairs[20_000] < 40 * pairs[2000] and pairs[20_000] < 20_000**2 / 10
+
+
 def test_blocks_cover_every_pair_once(cloud):
     df, _, points = cloud
 
