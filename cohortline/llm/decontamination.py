@@ -1,11 +1,12 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test windows, one scan of every text.
 
-Texts become lower-case words joined by single blanks. Every window of 13 words of a benchmark item (all words of a
-shorter item) is a pattern with a blank at both ends, so a match starts and ends with whole words. The automaton reports
-all matches in one pass; positions in the normalised text are turned back into word numbers and offsets of the original.
+Texts become lower-case words. Every window of 13 words of a benchmark item (all words of a shorter item) is a pattern
+whose symbols are numbers of words, so a window has 13 nodes and a match starts and ends with whole words. The automaton
+reports all matches in one pass; the words that they cover are turned back into offsets of the original.
 
 The patterns are cut into blocks of at most ``BLOCK_BYTES`` by hash. A benchmark of usual size is one block; a larger one
-is scanned block after block, so that neither the driver nor a worker ever holds more than one block.
+is scanned block after block, and each pass but the last is written before the next begins, so that neither the driver nor
+a worker ever holds more than one block.
 
 Defined results: NULL or wordless texts have no words and no hits; items without words have no window; equal items and
 repeated rows all count; a NULL item id is the empty text; an empty benchmark or table gives no hits or no rows; input
@@ -15,6 +16,7 @@ columns with the name of a result column are replaced.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from cohortline.llm.frames import append_columns, without
 from cohortline.llm.text import ALNUM, LOWER, raw_text
+from cohortline.session import cut_lineage
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -56,13 +59,15 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
 
 
 @lru_cache(maxsize=1)
-def _automaton(handle: Broadcast) -> ahocorasick.Automaton | None:
-    """Built once per worker process and block."""
-    found = ahocorasick.Automaton()
+def _automaton(handle: Broadcast) -> tuple[ahocorasick.Automaton, dict[bytes, int]] | None:
+    """The automaton and the numbers of its words, built once per worker process and block."""
+    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    numbers: dict[bytes, int] = {}
     for words, items in handle.value:
-        found.add_word(f" {words.decode('latin-1')} ", (words.count(b" ") + 1, items))
+        key = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words.split())
+        found.add_word(key, (len(key), items))
     found.make_automaton()
-    return found if len(found) else None
+    return (found, numbers) if len(found) else None
 
 
 def _offsets(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,16 +79,14 @@ def _offsets(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return points[np.flatnonzero(edges == 1)], points[np.flatnonzero(edges == -1)]
 
 
-def _matches(automaton, text: bytes) -> tuple[list[tuple[int, int]], set[str]]:
+def _matches(built, text: bytes) -> tuple[list[tuple[int, int]], set[str]]:
     """Word ranges covered by matches, and the items they belong to."""
-    spans, items, blanks = [], set(), None
-    if automaton is not None and text:
-        padded = b" " + text + b" "
-        for end, (length, names) in automaton.iter(padded.decode("latin-1")):
-            if blanks is None:
-                blanks = np.flatnonzero(np.frombuffer(padded, np.uint8) == 32)
-            last = int(np.searchsorted(blanks, end))
-            spans.append((last - length, last))
+    spans, items = [], set()
+    if built is not None and text:
+        automaton, numbers = built
+        symbols = tuple(map(numbers.get, text.split(), repeat(0)))  # 0: a word of no pattern
+        for end, (length, names) in automaton.iter(symbols):
+            spans.append((end + 1 - length, end + 1))
             items.update(names)
     return spans, items
 
@@ -102,6 +105,7 @@ def find_contamination(
     windows = benchmark_windows(benchmark, item, text, window).withColumn(
         "weight", F.octet_length("words") + 32 + F.aggregate("items", F.lit(0), lambda n, s: n + F.octet_length(s) + 8)
     )
+    windows = cut_lineage(windows)  # read once per block
     total = windows.agg(F.sum("weight")).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     out = without(docs, ["n_words", "n_hit", "n_items", "items", "spans", "contaminated", "_state"])
@@ -110,6 +114,9 @@ def find_contamination(
         part = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == number).select("words", "items").collect()
         handle = context.broadcast([(bytes(r["words"]), list(r["items"])) for r in part])
         out = _scan(out, text, handle, first=number == 0, last=number == blocks - 1)
+        if number < blocks - 1:
+            out = cut_lineage(out)
+            handle.destroy()
     return out
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +60,33 @@ def append_columns(
     return df.mapInArrow(run, T.StructType([*kept, *added]))
 
 
+#: Rows of one key that may be numbered in one task; more are numbered in ``LANES`` parts.
+COPIES = 16
+LANES = 1024
+
+
+def apart_if_hot(df: DataFrame, key: str, name: str, many: int = COPIES) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose long ``key`` has at most ``many`` rows, and the others (or None) with ``name``: 0, 1, 2, ... within the key.
+
+    A key may hold any share of the rows: its rows are dealt to lanes and written, numbered lane by lane, and a lane starts
+    where the one before it ends. The frequent keys are written, so Spark knows their size before it joins them.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "frequent-keys")
+    df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > many).select(key).write.parquet(path)
+    frequent = spark.read.schema(f"{key} long").parquet(path)
+    if frequent.isEmpty():
+        return df, None
+    lane = F.pmod(F.monotonically_increasing_id(), F.lit(LANES)).alias("_lane")
+    dealt = cut_lineage(df.join(frequent, key, "left_semi").select("*", lane))
+    counts = dealt.groupBy(key, "_lane").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(key).orderBy("_lane").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(key, "_lane", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = (F.row_number().over(W.partitionBy(key, "_lane").orderBy("_lane")) - 1).cast("long")
+    numbered = dealt.withColumn(name, number).join(offsets, [key, "_lane"]).withColumn(name, F.col(name) + F.col("_before"))
+    columns = [f"`{c}`" for c in [*df.columns, name]]
+    return df.join(frequent, key, "left_anti").select(*columns[:-1]), numbered.select(*columns)
+
+
 def row_key(*columns: Column) -> Column:
     return F.xxhash64(*columns)
 

@@ -30,7 +30,6 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortline.llm.frames import components, map_sorted_groups, star_roots, tiled, tiled_around, without
@@ -411,9 +410,9 @@ def one_of_each_class(docs: DataFrame, id: str = "doc_id", text: str = "text", s
     """Rows of ``docs`` without near-duplicates: of every class the document with the smallest id; wordless texts stay."""
     found = similar_documents(docs, id, text, similarity, recall)
     kept = found.where("key = chosen").select(F.col("key").alias("_key")).distinct()
-    plain = without(docs, ["_key", "_copy"])
-    keyed = plain.withColumn("_key", F.xxhash64(id, text)).join(kept, "_key")
-    numbered = keyed.withColumn("_copy", F.row_number().over(W.partitionBy("_key").orderBy("_key")))
-    # Rows without words link with nothing, so equal ones all stay.
+    plain = without(docs, ["_key"])
+    # Rows without words link with nothing, so equal ones all stay. Of other equal rows one is kept, before they are exchanged.
     wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[0-9A-Za-z\x80-\x{10FFFF}]")
-    return numbered.where((F.col("_copy") == 1) | wordless).select(*[f"`{c}`" for c in plain.columns])
+    once = plain.where(~wordless).withColumn("_key", F.xxhash64(id, text)).dropDuplicates(["_key"])
+    columns = [f"`{c}`" for c in plain.columns]
+    return once.join(kept, "_key").select(*columns).unionByName(plain.where(wordless).select(*columns))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortline.llm.frames import append_columns, without
+from cohortline.llm.frames import append_columns, apart_if_hot, without
 from cohortline.llm.text import VISIBLE, chunks
 from cohortline.operators.ordering import running_totals
 from cohortline.session import cut_lineage
@@ -179,8 +179,12 @@ def mix(docs: DataFrame, text: str = "text", share: float = 1.5, cap: float = 2.
     """The mixture itself: rows of ``docs`` as often as they are taken (0, 1 or 2 times with the defaults)."""
     units = mix_units(docs, text, share, cap).where("copies > 0").select("key1", "key2", "copy", "copies")
     names = [f"_{c}" for c in units.columns]
-    plain = without(docs, names)
-    keyed = plain.withColumns({"_key1": _keys(text)[0], "_key2": _keys(text)[1]})
+    plain = without(docs, [*names, "_row", "_lane"])
+    keyed = plain.withColumns({"_key1": _keys(text)[0], "_key2": _keys(text)[1]}).withColumn("_row", F.xxhash64("_key1", "_key2"))
+    # Numbers only have to tell equal rows apart as often as ``mix_units`` counted them; a frequent row is numbered in parts.
+    keyed, often = apart_if_hot(keyed, "_row", "_copy")
     keyed = keyed.withColumn("_copy", F.row_number().over(W.partitionBy("_key1", "_key2").orderBy("_key1")).cast("long"))
+    if often is not None:
+        keyed = keyed.unionByName(often.withColumn("_copy", F.col("_copy") + 1))
     taken = keyed.join(units.toDF(*names), names[:3])
     return taken.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[f"`{c}`" for c in plain.columns])

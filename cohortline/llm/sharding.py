@@ -5,7 +5,8 @@ A new version of the map moves only the slots that it must: every shard keeps it
 the rest goes, largest first, to the least loaded shard.
 
 Defined results: a NULL text has no bytes and size 1; a NULL key hashes like any value; repeated rows are rows of their
-own, in one slot if key and text are equal; an empty table gives no rows; a column of the input with the name of a result column is replaced.
+own, and those of a row that occurs more than ``COPIES`` times are numbered and spread over the slots by their number; an
+empty table gives no rows; a column of the input with the name of a result column is replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortline.llm.frames import shared_folder, without
+from cohortline.llm.frames import apart_if_hot, shared_folder, without
 
 SLOTS = 4096
 
@@ -27,11 +28,17 @@ def text_bytes(text: str = "text") -> Column:
 
 def with_slots(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text", slots: int = SLOTS) -> DataFrame:
     """Add ``size``, ``text_crc32`` and ``virtual_slot``. The text's checksum is part of the hashed key, so that a key
-    value shared by very many records does not fill one slot."""
-    docs = without(docs, ["size", "text_crc32", "virtual_slot"])
+    value shared by very many records does not fill one slot; nor does a record that is repeated very often, whose copies
+    have their number in the key."""
+    docs = without(docs, ["size", "text_crc32", "virtual_slot", "_row", "_lane", "_copy"])
     crc = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
     out = docs.withColumns({"size": text_bytes(text), "text_crc32": crc})
-    return out.withColumn("virtual_slot", F.pmod(F.xxhash64(*keys, "text_crc32"), F.lit(slots)).cast("int"))
+    rare, often = apart_if_hot(out.withColumn("_row", F.xxhash64(*keys, "text_crc32")), "_row", "_copy")
+    slot = lambda rows, key: rows.withColumn("virtual_slot", F.pmod(key, F.lit(slots)).cast("int"))
+    placed = slot(rare, F.col("_row"))
+    if often is not None:
+        placed = placed.unionByName(slot(often, F.xxhash64("_row", "_copy")).drop("_copy"))
+    return placed.drop("_row")
 
 
 def slot_bytes(slotted: DataFrame) -> DataFrame:

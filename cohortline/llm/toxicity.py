@@ -5,12 +5,13 @@ have. A model sees the presence of words and word beginnings (hashes, no diction
 log-odds of the earlier categories. For training those come from out-of-fold models, so a later model learns from
 predictions as good as it will meet; the models in use are fitted on all training rows.
 
-Fitting takes at most ``PER_CLASS`` labelled documents of each value of the last category, first by hash of the id; the
-intercepts are then corrected to the shares among all labels. Scoring covers every word of every document.
+Fitting takes at most ``PER_CLASS`` labelled documents of each value of the last category, first by hash of the id and the
+text; the intercepts are then corrected to the shares among all labels. Scoring covers every word of every document.
 
 Defined results: texts without words are not toxic; labels that are NULL are left out of their category; a category with
-only one value is constant; with no labels at all every probability is 0; repeated rows count as often as they occur; an
-empty table gives no rows; input columns with the name of a result column are replaced.
+only one value is constant; with no labels at all every probability is 0; rows with equal id, text and labels count once in
+the fit, so an id that is repeated very often neither outweighs the others nor fills the driver; an empty table gives no
+rows; input columns with the name of a result column are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from cohortline.llm.frames import append_columns, without
 from cohortline.llm.text import _BASE, _BYTE_CODES, ALNUM, Chunk, chunks, prefix_sums, run_hashes, signed
+from cohortline.session import cut_lineage
 
 PER_CLASS = 4000
 FOLDS = 5
@@ -172,8 +174,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], p
     sample = picked[0].unionByName(picked[1])
     counts = named.agg(*[F.avg(n).alias(n) for n in names]).first()
     odds = [float(np.log(s / (1 - s))) if (s := counts[n]) is not None and 0 < s < 1 else None for n in names]
-    # At most 2 * per_class rows of an id and a few numbers.
-    texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(sample), "_id")
+    # Both broadcasts hold at most 2 * per_class rows of an id and a few numbers; so many rows of documents are fitted.
+    keyed = docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).withColumn("_text", F.xxhash64("text"))
+    pairs = cut_lineage(keyed.drop("text").join(F.broadcast(sample), "_id").distinct())
+    rows = [
+        pairs.where(F.col(names[-1]) == value).orderBy(F.xxhash64("_id"), "_id", "_text", *names).limit(per_class) for value in (0, 1)
+    ]
+    rows = rows[0].unionByName(rows[1])
+    texts = cut_lineage(keyed.join(F.broadcast(rows), ["_id", "_text"]).dropDuplicates(["_id", "_text", *names]).drop("_text"))
 
     def distinct(chunk: Chunk, rows: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
         order = np.argsort(rows, kind="stable")

@@ -332,3 +332,28 @@ def test_page_ids_may_be_texts(spark):
     warc_store.write_archive(pages, path)
     found = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc_store.read_records(spark, path, "string").collect()}
     assert found == {"a": ("response", None, 1), "b": ("revisit", "a", 1), "c": ("response", None, 0)}
+
+
+def test_rows_repeated_very_often_are_spread(spark):
+    """A row that is ingested thousands of times fills neither one slot nor one shard; its copies are numbered without a gap."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select("id", F.concat(F.lit("text "), F.col("id")).alias("text")).withColumnRenamed("id", "doc_id")
+    hot = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    placed = frames.cut_lineage(sharding.with_positions(sharding.shard_records(docs.unionByName(hot).repartition(5), 16), ["doc_id", "size"]))
+    loads = [r["b"] for r in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(loads) == 16 and placed.count() == 6000 and max(loads) <= 1.05 * min(loads)
+    assert placed.groupBy("shard").agg((F.max("slot") + 1 - F.count("*")).alias("gap")).where("gap <> 0").isEmpty()
+    rare, often = frames.apart_if_hot(docs.unionByName(hot).withColumn("_row", F.xxhash64("doc_id", "text")), "_row", "n")
+    assert rare.count() == 3000 and sorted(r["n"] for r in often.collect()) == list(range(3000))
+
+
+def test_mixture_of_a_row_repeated_very_often(spark):
+    from pyspark.sql import functions as F
+
+    hot = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("a").alias("source"))
+    rest = spark.range(500).select((F.col("id") + 10).alias("doc_id"), F.concat(F.lit("w "), F.col("id")).alias("text"), F.lit("b").alias("source"))
+    docs = frames.cut_lineage(hot.unionByName(rest).repartition(3))
+    units = mixing.mix_units(docs)
+    want = Counter({r["doc_id"]: r["n"] for r in units.groupBy("doc_id").agg(F.sum("copies").alias("n")).where("n > 0").collect()})
+    assert Counter(r["doc_id"] for r in mixing.mix(docs).collect()) == want and want[1] > 500

@@ -470,3 +470,73 @@ def test_hash_mixing_is_a_bijection_on_a_sample():
     x = np.arange(100000, dtype=np.uint64)
     assert len(np.unique(mix(x))) == len(x)
     assert hashlib.sha256(mix(x).tobytes()).hexdigest() == hashlib.sha256(mix(x.copy()).tobytes()).hexdigest()
+
+
+def test_one_id_does_not_fill_the_fit(spark):
+    """A labelled id that is repeated thousands of times is one row of the fit, whatever it adds elsewhere."""
+    rows = [(1, f"good words number {i % 7}") for i in range(3000)] + [(i, f"{'bad' if i % 2 else 'good'} words {i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, i % 2 if i > 1 else 0) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    seen = []
+    plain, toxicity.fit_chain = toxicity.fit_chain, lambda names, known, *rest: seen.append(len(known)) or plain(names, known, *rest)
+    try:
+        toxicity.train(docs, labels, toxicity.categories(), per_class=50)
+        toxicity.train(docs, labels, toxicity.categories(), per_class=5)
+    finally:
+        toxicity.fit_chain = plain
+    assert seen == [7 + 58, 10]
+
+
+def test_chain_equals_a_plain_computation(spark):
+    """Probabilities by hand: presence of words and word beginnings, the four shares, and the log-odds of the category before."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    chain = toxicity.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), toxicity.categories())
+    found = toxicity.score(docs, chain).select("text", "p_low_quality", "p_toxic", "toxic").collect()
+    import pyarrow as pa
+
+    for r in found[:40]:
+        words = normal(r["text"])
+        own = pa.array([r["text"]], pa.string())
+        (chunk, _, hashes, dense), *_ = toxicity._features(own)
+        seen = {int(h) for h in hashes}
+        z = None
+        for link, p in zip(chain, (r["p_low_quality"], r["p_toxic"])):
+            z = link.intercept + float(dense[0] @ link.dense) + sum(w for h, w in zip(link.hashes.tolist(), link.weights.tolist()) if h in seen)
+            assert abs(1 / (1 + np.exp(-z)) - p) < 1e-9
+            dense = np.hstack([dense, np.clip([[z]], -10, 10) / 5])
+        assert chunk.counts[0] == len(words) and r["toxic"] == (p >= 0.5 and bool(words))
+
+
+def test_spans_longer_than_the_overlap_are_joined():
+    pieces = [(5.0, 10, 0, 96, False, True), (4.0, 48, 0, 130, True, False), (6.0, 140, 1, 150, False, False), (6.0, 180, 2, 192, False, True), (6.0, 192, 2, 196, True, False)]
+    assert personal_data.stitched(pieces) == [(6.0, 140, 1, 150), (4.0, 10, 0, 130)]
+    tags = np.array([2, 2, 0, 1, 2])
+    assert [s[1:] for s in personal_data._spans_of(tags, np.ones(5), 100, 5, True, True)] == [(100, 0, 102, True, False), (103, 0, 105, False, True)]
+
+
+def test_personal_data_of_messy_rows(spark, messy, messy_rows, nothing):
+    extra = [(20, "call +49 30 1234567 or x@y.de", "en", "a", 1, 1, 1, 1, "own", 1)] * 3
+    docs = messy.unionByName(spark.createDataFrame(extra, messy.schema))
+    rows = personal_data.find_personal_data(docs).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r[0], r[1]) for r in [*messy_rows, *extra])
+    for r in rows:
+        want = [(personal_data.KINDS[k], s, e) for s, k, e in reference_spans(r["text"] or "")]
+        assert [(s["kind"], s["start"], s["end"]) for s in r["base_spans"]] == want and set(map(tuple, r["base_spans"])) <= set(map(tuple, r["spans"]))
+    assert personal_data.find_personal_data(nothing).count() == 0
+
+
+def test_plain_numbers_do_not_crowd_out_the_spans(spark):
+    rows = [(f"line {i} " + "z" * 60,) for i in range(3000)] + [(f"write to user{i}@mail.example now",) for i in range(30)]
+    windows = personal_data.training_windows(spark.createDataFrame(rows, "text string"), 200)
+    assert sum(bool(s) for _, s in windows) == 30 and sum(not s for _, s in windows) == 40
+
+
+def test_patterns_are_sequences_of_words():
+    """Thirteen nodes a window, however long its words are."""
+    windows = [(" ".join(f"{'long' * 20}{i}x{j}" for j in range(13)).encode(), ["1"]) for i in range(50)]
+
+    class Handle:
+        value = windows
+
+    automaton, numbers = decontamination._automaton.__wrapped__(Handle)
+    assert automaton.get_stats()["nodes_count"] <= 13 * 50 + 1 and len(numbers) == 650
