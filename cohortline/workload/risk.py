@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +10,8 @@ from cohortline.operators import clusters, embedding, features, metrics, models,
 from cohortline.operators.models import FEATURE_SETS
 from cohortline.plans import jobs
 from cohortline.session import cut_lineage
-from cohortline.sources.schemas import ID_COLUMNS, LABEL
-from cohortline.workload.campus import DIMS, SPLIT_YEARS, SQL_BASE, SQL_EMBEDDED_TERMS, SQL_SCORED, Campus, r
+from cohortline.sources.schemas import CATEGORICAL_FEATURES, ID_COLUMNS, LABEL, NUMERIC_FEATURES
+from cohortline.workload.campus import DIMS, SPLIT_YEARS, SQL_BASE, SQL_EMBEDDED_TERMS, SQL_SCORED, Campus, r, r6
 from cohortline.workload.preparation import SQL_FEATURES, feature_rows, rounded
 from cohortline.workload.registry import query
 
@@ -154,11 +155,35 @@ def trained(c: Campus, fit) -> tuple:
     return fit(ready, LABEL), prepared, train, test
 
 
-@query()
+def _sql_number(c: str) -> str:
+    filled = f"coalesce(CAST({c} AS DOUBLE), (SELECT coalesce(median({c}), 0) FROM train))"
+    fitted = f"SELECT {{}}(x) FROM (SELECT {filled} AS x FROM train)"
+    scaled = f"({filled} - ({fitted.format('avg')})) / coalesce(nullif(({fitted.format('stddev_pop')}), 0), 1)"
+    return f"SELECT {', '.join(ID_COLUMNS)}, 'num__{c}' AS feature, {r6(scaled)} AS value FROM test"
+
+
+def _sql_category(c: str) -> str:
+    known = f"coalesce(nullif(CAST({c} AS VARCHAR), ''), 'UNKNOWN')"
+    return (
+        f"SELECT {', '.join(ID_COLUMNS)}, 'cat__{c}_' || {known} AS feature, CAST(1 AS DOUBLE) AS value FROM test "
+        f"WHERE {known} IN (SELECT {known} FROM train)"
+    )
+
+
+_SQL_PREPARED = " UNION ALL ".join([*map(_sql_number, NUMERIC_FEATURES), *map(_sql_category, CATEGORICAL_FEATURES)])
+
+
+@query(f"""{SQL_FEATURES},
+train AS (SELECT * FROM split WHERE split = 'train' AND {LABEL} IS NOT NULL), test AS (SELECT * FROM split WHERE split = 'test' AND {LABEL} IS NOT NULL)
+{_SQL_PREPARED}""")
 def preprocessor(c: Campus) -> DataFrame:
+    """The feature vector of every test row by name: all numbers, and the categories that the row has."""
     train, test = labelled_split(c)
-    ready = models.fit_preprocessor(train).transform(test)
-    return ready.select(*ID_COLUMNS, F.col("features").cast("string").alias("features"))
+    prepared = models.fit_preprocessor(train)
+    values = vector_to_array("features")
+    named = F.arrays_zip(F.array(*map(F.lit, prepared.names)).alias("feature"), values.alias("value"))
+    rows = prepared.transform(test).select(*ID_COLUMNS, F.explode(named).alias("f")).select(*ID_COLUMNS, "f.feature", "f.value")
+    return rounded(rows.where((F.col("value") != 0) | F.startswith("feature", F.lit("num__"))), "value")
 
 
 def _scored(c: Campus, fit) -> DataFrame:

@@ -12,7 +12,7 @@ from cohortline.workload import ORACLES, QUERIES
 
 # Without SQL: iterative fits. What they must satisfy is tested with their operators.
 FITTED = {
-    "choose_k", "k_search_table", "pca_2d", "preprocessor", "logistic_regression", "random_forest",
+    "choose_k", "k_search_table", "pca_2d", "logistic_regression", "random_forest",
     "boosted_trees", "top_features", "embed_rows", "model_grid", "baseline_run", "model_comparison",
 }
 
