@@ -532,11 +532,13 @@ def test_plain_numbers_do_not_crowd_out_the_spans(spark):
 
 
 def test_patterns_are_sequences_of_words():
-    """Thirteen nodes a window, however long its words are."""
+    """Three nodes a word, however long it is, and no more words than three digits can number."""
     windows = [(" ".join(f"{'long' * 20}{i}x{j}" for j in range(13)).encode(), ["1"]) for i in range(50)]
 
     class Handle:
         value = windows
 
-    automaton, numbers = decontamination._automaton.__wrapped__(Handle)
-    assert automaton.get_stats()["nodes_count"] <= 13 * 50 + 1 and len(numbers) == 650
+    automaton, codes = decontamination._automaton.__wrapped__(Handle)
+    assert automaton.get_stats()["nodes_count"] <= 39 * 50 + 1 and len(set(codes.values())) == len(codes) == 650
+    assert decontamination.BLOCK_BYTES // decontamination.WORD_BYTES <= decontamination.BASE**3
+    assert decontamination._matches((automaton, codes), b"x " + windows[3][0] + b" y") == ([(1, 14)], {"1"})
