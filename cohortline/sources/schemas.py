@@ -40,6 +40,7 @@ def _schema(**fields: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields.items()])
 
 
+# The columns of the semester table, the predictions and the key bridge, in their order.
 SEMESTER_BASE = _schema(
     student_id="text",
     school_year="text",
