@@ -91,22 +91,34 @@ def row_key(*columns: Column) -> Column:
     return F.xxhash64(*columns)
 
 
+def _both_ends(pairs: DataFrame) -> DataFrame:
+    """Every pair from both ends; one pass over the partitions of ``pairs``, which a union would read twice."""
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.select(F.explode(ends).alias("e")).select("e.a", "e.b")
+
+
+def _is_star_forest(pairs: DataFrame) -> bool:
+    """Whether every node of ``pairs(a, b)``, a above b, has at most one neighbour below it, and then none above it."""
+    below = F.count(F.when(F.col("b") < F.col("a"), 1))
+    nodes = _both_ends(pairs).groupBy("a").agg(below.alias("below"), F.count("*").alias("all"))
+    return nodes.agg(F.count(F.when((F.col("below") > 0) & (F.col("all") > 1), 1))).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``: the smallest node it can reach.
 
     Alternating large and small stars: every round hooks the neighbours of a node to the smallest of them, so the
-    depth falls geometrically. Rows are edges; no node's neighbours are ever collected. A node with very many
-    neighbours is only the key of a ``min``, which combines before the shuffle, and of a join.
+    depth falls geometrically. Rounds end with a forest of stars, which may be what is given. Rows are edges; no node's
+    neighbours are ever collected. A node with very many neighbours is only the key of a ``min``, which combines before the
+    shuffle, and of a join.
     """
     pairs = cut_lineage(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     )
-    before = None
-    while True:
-        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
+    while not _is_star_forest(pairs):
+        lowest = _both_ends(pairs).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        upwards = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        large = upwards.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(floor, "a")
@@ -116,11 +128,6 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         pairs = cut_lineage(small)
-        # A fixed point is a star forest: every node has one neighbour below it, and that one has none.
-        now = pairs.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == before:
-            break
-        before = now
     roots = pairs.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortline.llm import embedding_forest, frames, mixing, sharding, warc_store
+from cohortline.session import cut_lineage
 from test_text_operators import contamination, jaccard_classes
 
 SMALL = "/root/testdata/sf0.001"
@@ -254,6 +255,16 @@ def test_components_of_chains_and_stars(spark):
     assert found == {**{i: 0 for i in range(101)}, **{i: 500 for i in range(500, 560)}, 900: 900, 901: 900}
 
 
+def test_components_that_are_stars_need_no_round(spark, monkeypatch):
+    edges = [(i % 7, 100 + i) for i in range(50)]
+    cuts = []
+    monkeypatch.setattr(frames, "cut_lineage", lambda df: cuts.append(1) or cut_lineage(df))
+    found = {r["node"]: r["component"] for r in frames.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**{100 + i: i % 7 for i in range(50)}, **{i: i for i in range(7)}}
+    assert len(cuts) == 1
+    assert frames.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
