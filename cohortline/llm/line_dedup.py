@@ -36,9 +36,9 @@ def allowed(length: np.ndarray, edits: int = EDITS) -> np.ndarray:
 
 
 class Lines:
-    """Non-blank lines of a chunk: row, number in the row, byte range; unless ``where_only``, also code points and hash."""
+    """Non-blank lines of a chunk: row, number in the row, byte range and hash; with ``points`` also code points."""
 
-    def __init__(self, chunk, where_only: bool = False):
+    def __init__(self, chunk, points: bool = False):
         data, at = chunk.data, chunk.offsets
         breaks = np.flatnonzero(data == 10)
         starts = np.unique(np.concatenate([at[:-1][np.diff(at) > 0], breaks + 1]))
@@ -47,21 +47,21 @@ class Lines:
         ends = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, starts)], at[self.row + 1])
         # The number of a line is the number of breaks before it in its text.
         self.number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, at[self.row])
-        seen = np.concatenate([[0], np.cumsum(VISIBLE[data])])
-        some = seen[ends] > seen[starts]
+        # A line and its break reach up to the next line.
+        some = np.logical_or.reduceat(VISIBLE[data], starts) if len(starts) else np.zeros(0, bool)
         self.row, self.number, self.start, self.end = self.row[some], self.number[some], starts[some], ends[some]
-        if where_only:
-            return
-        self.lead = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])
-        self.point = np.searchsorted(self.lead, self.start)
-        self.length = np.searchsorted(self.lead, self.end) - self.point
+        if points:
+            self.lead = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])
+            self.point = np.searchsorted(self.lead, self.start)
+            self.length = np.searchsorted(self.lead, self.end) - self.point
         self.sums = prefix_sums(_BYTE_CODES[data], _BASE)
         self.hash = run_hashes(self.sums, self.start, self.end, _BASE) ^ mix((self.end - self.start).astype(np.uint64))
         self.data = data
 
     def pick(self, at: np.ndarray) -> None:
         for name in ("row", "number", "start", "end", "point", "length", "hash"):
-            setattr(self, name, getattr(self, name)[at])
+            if hasattr(self, name):
+                setattr(self, name, getattr(self, name)[at])
 
     def piece(self, which: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Hashes of substrings given in code points of the lines."""
@@ -106,21 +106,27 @@ def signatures(lines: Lines, edits: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate(keys), np.concatenate(which), np.concatenate(probes).astype(np.int8)
 
 
-def _places(docs: DataFrame) -> DataFrame:
-    """``doc``, ``key``, ``number``, ``line`` (hash) of every line."""
+def _parsed(docs: DataFrame, text: str) -> DataFrame:
+    """Rows of ``docs`` without ``text``, with ``n_lines`` and ``_lines``: number and hash of every line."""
 
-    def run(batches):
+    def compute(batches):
         for batch in batches:
-            for chunk in chunks(batch.column("text"), VISIBLE):
+            sizes, number, line = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            for chunk in chunks(batch.column(text), VISIBLE):
                 lines = Lines(chunk)
-                rows = batch.slice(chunk.first, chunk.rows)
-                at = pa.array(lines.row)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc").take(at), rows.column("key").take(at), pa.array(lines.number.astype(np.int32)), pa.array(signed(lines.hash))],
-                    names=["doc", "key", "number", "line"],
-                )
+                sizes.append(np.bincount(lines.row, minlength=chunk.rows))
+                number.append(lines.number.astype(np.int32))
+                line.append(signed(lines.hash))
+            sizes = np.concatenate(sizes).astype(np.int64)
+            each = pa.StructArray.from_arrays([pa.array(np.concatenate(number)), pa.array(np.concatenate(line))], names=["number", "line"])
+            yield [pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), each)]
 
-    return docs.select("doc", "key", "text").mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, key long, number int, line long")
+    return append_columns(docs, "n_lines long, _lines array<struct<number:int,line:long>>", compute, hidden=(text,))
+
+
+def _places(parsed: DataFrame, id: str) -> DataFrame:
+    """``doc``, ``key``, ``number``, ``line`` (hash) of every line."""
+    return parsed.select(F.col(id).alias("doc"), F.col("_key").alias("key"), F.inline("_lines"))
 
 
 def _index(docs: DataFrame, edits: int) -> DataFrame:
@@ -129,7 +135,7 @@ def _index(docs: DataFrame, edits: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for chunk in chunks(batch.column("text"), VISIBLE):
-                lines = Lines(chunk)
+                lines = Lines(chunk, points=True)
                 lines.pick(np.unique(lines.hash, return_index=True)[1])
                 keys, which, probes = signatures(lines, edits)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(signed(lines.hash[which])), pa.array(probes)], names=["segment", "line", "probe"])
@@ -153,30 +159,44 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_segments(index: DataFrame) -> DataFrame:
-    """Rows of ``(segment, line, probe)`` whose segment more than one line has, a line once, as index if it is that. One
-    exchange; runs of equal segments pass by in order, and only the last row is held."""
+    """Rows of ``(segment, line, probe)`` whose segment more than one line has, a line once, as index if it is that.
+
+    One exchange of all rows, sorted by segment alone, which Spark does by radix. Runs of equal segments pass by; of a run
+    that goes on in the next batch only its first line is held, until another line follows. What is left is few rows, of
+    which those that came in different batches are united.
+    """
     names = ["segment", "line", "probe"]
 
     def run(batches):
-        last, open_ = None, False
+        held = None  # the open run while it has one line: segment, line, least probe
+        passed = None  # the segment of the open run once it has more lines
         for batch in batches:
             seg, line, probe = (batch.column(c).to_numpy() for c in names)
-            if last is not None:
-                seg, line, probe = np.append(last[0], seg), np.append(last[1], line), np.append(last[2], probe)
+            if held is not None:
+                seg, line, probe = np.append(held[0], seg), np.append(held[1], line), np.append(held[2], probe)
+                held = None
             if not len(seg):
                 continue
-            new = np.append(True, (np.diff(seg) != 0) | (np.diff(line) != 0))
-            seg, line, probe = seg[new], line[new], probe[new]
-            same = seg[1:] == seg[:-1]
-            keep = np.append(False, same) | np.append(same, False)
-            keep[0] |= open_
-            last, open_ = (seg[-1:], line[-1:], probe[-1:]), bool(keep[-1])
-            # The last row waits for the next batch; if it is known to be shared, that is remembered.
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in (seg, line, probe)], names=names)
-        if last is not None and open_:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
-
-    return dealt_by(index, "segment", "line", "probe").mapInArrow(run, "segment long, line long, probe byte")
+            first = np.append(True, seg[1:] != seg[:-1])
+            run_ = np.cumsum(first) - 1
+            starts = np.flatnonzero(first)
+            shared = np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts)
+            if passed is not None and passed == seg[0]:
+                shared[0] = True
+            passed = seg[-1] if shared[-1] else None
+            if not shared[-1]:
+                own = slice(starts[-1], len(seg))
+                held = seg[own][:1], line[own][:1], probe[own].min(keepdims=True)
+            keep = shared[run_]
+            if keep.any():
+                seg, line, probe = seg[keep], line[keep], probe[keep]
+                order = np.lexsort((probe, line, seg))
+                seg, line, probe = seg[order], line[order], probe[order]
+                once = np.append(True, (seg[1:] != seg[:-1]) | (line[1:] != line[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (seg, line, probe)], names=names)
+
+    passed = dealt_by(index, "segment").mapInArrow(run, "segment long, line long, probe byte")
+    return passed.groupBy("segment", "line").agg(F.min("probe").alias("probe"))
 
 
 def within_edits(a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
@@ -313,11 +333,14 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", edit
     """``key``, ``removed`` (sorted numbers of the lines that go) and ``known`` (of all lines that also occur elsewhere) of
     every row with such lines; ``key`` is a hash of id and text. Equal rows are one: ``removed`` is that of the first copy,
     and of the others all lines go, which are ``known``."""
-    keyed = docs.select(F.col(id).alias("doc"), F.xxhash64(id, text).alias("key"), F.col(text).alias("text"))
-    places = cut_lineage(_places(keyed))
+    parsed = cut_lineage(_parsed(docs.select(F.col(id).alias("doc"), F.xxhash64(id, text).alias("_key"), F.col(text).alias("text")), "text"))
+    return _repeated(_places(parsed, "doc"), docs.select(F.col(text).alias("text")), edits)
+
+
+def _repeated(places: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "key", "number")
     firsts = places.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times"))
-    classes = components(line_links(keyed, edits)).toDF("line", "class")
+    classes = components(line_links(texts, edits)).toDF("line", "class")
     known = cut_lineage(firsts.join(classes, "line", "left").where((F.col("times") > 1) | F.col("class").isNotNull()))
     first = known.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("first").alias("class_first"))
     known = known.join(first, "class", "left").select("line", F.coalesce("class_first", "first").alias("first"))
@@ -328,15 +351,20 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", edit
 
 def deduplicate_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, with_text: bool = True) -> DataFrame:
     """All rows of ``docs`` with ``n_lines``, ``n_removed``, ``removed`` (line numbers from 0) and, if wanted, ``kept_text``."""
-    plain = without(docs, ["n_lines", "n_removed", "removed", "kept_text", "_key", "_removed", "_row"])
+    plain = without(docs, ["n_lines", "n_removed", "removed", "kept_text", "_key", "_lines", "_removed", "_row"])
     keyed = plain.withColumn("_key", F.xxhash64(id, text))
     if not with_text:
-        # Lines are counted where the text is read; the text itself is not moved.
-        keyed = append_columns(keyed, "n_lines long", lambda batches: _counts(batches, text), hidden=(text,))
+        # Lines are counted and their places taken in one pass over the text; the text itself is not moved.
+        keyed = _parsed(keyed, text)
     # Numbers of rows have to be the same wherever they are read.
     numbered = cut_lineage(keyed.withColumn("_row", F.monotonically_increasing_id()))
     stays = numbered.groupBy("_key").agg(F.count("*").alias("copies"), F.min("_row").alias("stays")).where("copies > 1").select("_key", "stays")
-    cuts = repeated_lines(plain, id, text, edits).withColumnRenamed("key", "_key").join(stays, "_key", "left")
+    if with_text:
+        found = repeated_lines(plain, id, text, edits)
+    else:
+        found = _repeated(_places(numbered, id), plain.select(F.col(text).alias("text")), edits)
+        numbered, keyed = numbered.drop("_lines"), keyed.drop("_lines")
+    cuts = found.withColumnRenamed("key", "_key").join(stays, "_key", "left")
     # Exchanged again, so that Spark may split the join if a row has very many copies; one by the key itself is dropped.
     cuts = cuts.repartition(F.xxhash64("_key"))
     own = F.when(F.col("_row") != F.col("stays"), F.col("known")).otherwise(F.col("removed"))
@@ -361,11 +389,3 @@ def deduplicate_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", e
 
     ddl = "n_lines long, n_removed long, removed array<int>, kept_text string"
     return append_columns(marked, ddl, compute, hidden=("_removed",))
-
-
-def _counts(batches, text: str):
-    for batch in batches:
-        counts = [np.zeros(0, np.int64)]
-        for chunk in chunks(batch.column(text), VISIBLE):
-            counts.append(np.bincount(Lines(chunk, where_only=True).row, minlength=chunk.rows))
-        yield [pa.array(np.concatenate(counts).astype(np.int64))]

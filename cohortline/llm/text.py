@@ -7,7 +7,7 @@ Python calls. Hashes are polynomial prefix sums over random byte codes; any run
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,11 +67,16 @@ def run_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.ui
 
 
 class Chunk:
-    """Rows ``first`` to ``last`` of a text column and their words."""
+    """Rows ``first`` to ``last`` of a text column and their words, which are found when first asked for."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, word_bytes: np.ndarray):
         self.data, self.offsets, self.first, self.rows = data, offsets, first, len(offsets) - 1
-        inside = word_bytes[data]
+        self._word_bytes = word_bytes
+
+    @cached_property
+    def _spans(self) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = self.data, self.offsets
+        inside = self._word_bytes[data]
         border = np.zeros(len(data) + 1, bool)
         border[offsets] = True
         before = np.empty(len(data), bool)
@@ -80,10 +85,20 @@ class Chunk:
         after = np.empty(len(data), bool)
         after[-1:] = False
         after[:-1] = inside[1:]
-        self.starts = np.flatnonzero(inside & (~before | border[:-1]))
-        self.ends = np.flatnonzero(inside & (~after | border[1:])) + 1
-        #: Words of row r are those from word_offsets[r] to word_offsets[r + 1].
-        self.word_offsets = np.searchsorted(self.starts, offsets)
+        return np.flatnonzero(inside & (~before | border[:-1])), np.flatnonzero(inside & (~after | border[1:])) + 1
+
+    @property
+    def starts(self) -> np.ndarray:
+        return self._spans[0]
+
+    @property
+    def ends(self) -> np.ndarray:
+        return self._spans[1]
+
+    @cached_property
+    def word_offsets(self) -> np.ndarray:
+        """Words of row r are those from word_offsets[r] to word_offsets[r + 1]."""
+        return np.searchsorted(self.starts, self.offsets)
 
     @property
     def counts(self) -> np.ndarray:

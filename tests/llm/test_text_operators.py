@@ -331,6 +331,36 @@ def test_lines_of_repeated_rows(spark, messy, messy_rows):
         assert Counter((r["doc_id"], str(r["removed"])) for r in slim.collect()) == removed_lines(own)
 
 
+def test_shared_segments_across_batches(spark, tmp_path):
+    """Runs of a segment that go on in further batches; a line that occurs often shares nothing with itself."""
+    rows = [(1, 7, 1)] * 30 + [(2, 8, 1)] * 20 + [(2, 9, 1)] * 3 + [(2, 9, 0)] + [(3, i % 11, i % 2) for i in range(44)] + [(4, 1, 0)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    index = spark.createDataFrame(rows, "segment long, line long, probe byte").repartition(3)
+    try:
+        for size in (1, 3, 16, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            got = [tuple(r) for r in line_dedup.shared_segments(index).collect()]
+            assert sorted(got) == [(2, 8, 1), (2, 9, 0), *((3, i, 0) for i in range(11))]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_text_is_read_three_times_for_lines(spark, monkeypatch):
+    """One pass parses lines, their places and their number; two more make the index and the contents."""
+    made = []
+    map_in_arrow = type(spark.range(1)).mapInArrow
+
+    def noted(self, func, *args, **kwargs):
+        made.extend(["text"] * ("text" in self.columns))
+        return map_in_arrow(self, func, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", noted)
+    docs = spark.createDataFrame([(1, "one line here\nand one more"), (2, "one line here")], "doc_id long, text string")
+    found = line_dedup.deduplicate_lines(docs, with_text=False).collect()
+    assert sorted((r["doc_id"], r["n_lines"], str(r["removed"])) for r in found) == [(1, 2, "[]"), (2, 1, "[0]")]
+    assert made == ["text"] * 3
+
+
 # --- personal data
 
 
