@@ -29,6 +29,7 @@ import os
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,8 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         decoded = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.b_bytes = ByteTable.of(decoded)
+        #: Texts of ids in a group: those of A inside and at its end, then those of B.
+        self.written = [f"{i}{mark}" for n, marks in ((size, ",|"), (len(pieces), ",;")) for mark in marks for i in range(n)]
         #: Whether B's merges stop at a blank after another character.
         self.cuts = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in pieces)
 
@@ -123,10 +126,11 @@ class Tokenizers:
         for text, one, two in zip(texts, self.a.encode_batch(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)):
             raw = np.frombuffer(text.encode(), np.uint8)
             at = np.concatenate([np.flatnonzero((raw & 0xC0) != 0x80), [len(raw)]])  # of characters
-            spans = at[np.array(one.offsets, np.int64).reshape(-1, 2)]
+            spans = at[np.fromiter(chain.from_iterable(one.offsets), np.int64).reshape(-1, 2)]
             a = np.array(one.ids, np.int64)
-            b = np.array([p.id for p in two.pieces], np.int64)
-            ends = np.array([p.end for p in two.pieces], np.int64) + 1  # B's blank is not in its spans
+            pieces = [(p.id, p.end) for p in two.pieces]  # a message is built anew whenever it is read
+            b, ends = np.fromiter(chain.from_iterable(pieces), np.int64).reshape(-1, 2).T
+            ends = ends + 1  # B's blank is not in its spans
             begins = np.concatenate([[0], ends[:-1]])
             out.append((raw, a, settled_ends(spans[:, 0], spans[:, 1], self.a_bytes.lengths(a)), b, settled_ends(begins, ends, self.b_bytes.lengths(b))))
         return out
@@ -192,22 +196,28 @@ class SegmentStore:
                 out.append((own, np.zeros((1, 5), np.int64), [""], none, none, none))
         return out
 
-    @staticmethod
-    def _grouped(own: list[str], a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple:
+    def _grouped(self, own: list[str], a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple:
         ends = np.cumsum([len(s.encode()) for s in own])
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
         sizes = [np.diff(np.searchsorted(e, cuts, "right"), prepend=0) for e in (a_ends, b_ends)]
         segment = np.searchsorted(ends, cuts)
         per = lambda x: np.bincount(segment, x, minlength=len(own)).astype(np.int64)
         facts = np.stack([np.ones(len(own), np.int64), per(sizes[0]), per(sizes[1]), per(np.ones(len(cuts))), per(sizes[0] * sizes[1])], 1)
-        x, y = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        lines: list[list[str]] = [[] for _ in own]
-        i = j = 0
-        for s, m, n in zip(segment.tolist(), sizes[0].tolist(), sizes[1].tolist()):
-            lines[s].append(f"{x[i] if m == 1 else ','.join(x[i : i + m])}|{y[j] if n == 1 else ','.join(y[j : j + n])}")
-            i, j = i + m, j + n
+        # The ids of a group are A's, then B's; the last of each side has the mark that ends it.
+        last = [np.cumsum(n) for n in sizes]
+        words = np.empty(len(a) + len(b), np.int64)
+        in_a, in_b = (np.repeat(np.arange(len(cuts)), n) for n in sizes)
+        a_table, b_table = len(self.tokenizers.a_bytes.begin) - 1, len(self.tokenizers.b_bytes.begin) - 1
+        a_word, b_word = a.copy(), b + 2 * a_table
+        a_word[last[0] - 1] += a_table
+        b_word[last[1] - 1] += b_table
+        words[np.arange(len(a)) + (last[1] - sizes[1])[in_a]] = a_word
+        words[np.arange(len(b)) + last[0][in_b]] = b_word
+        flat = list(map(self.tokenizers.written.__getitem__, words.tolist()))
+        ids = np.concatenate([[0], np.cumsum(per(sizes[0] + sizes[1]))]).tolist()
+        lines = ["".join(flat[i:j])[:-1] for i, j in zip(ids, ids[1:])]
         group, code, times = _linked(a, b, *sizes)
-        return own, facts, [";".join(line) for line in lines], segment[group], code, times
+        return own, facts, lines, segment[group], code, times
 
     def _keep(self, found: list[tuple]) -> None:
         if not found:
@@ -239,10 +249,11 @@ class SegmentStore:
         if len(self.at) > STORED:
             self.clear()
         parts = [self.tokenizers.segments(t) if t else [] for t in texts]
-        fresh = list(dict.fromkeys(s for p in parts for s in p if s not in self.at))
+        every = list(chain.from_iterable(parts))
+        fresh = [s for s in dict.fromkeys(every) if s not in self.at]
         if fresh:
             self.add(fresh)
-        at = np.fromiter((self.at[s] for p in parts for s in p), np.int64)
+        at = np.fromiter(map(self.at.__getitem__, every), np.int64, len(every))
         return at, np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 

@@ -105,6 +105,31 @@ def test_store_may_be_emptied_at_any_time(spark, plain, monkeypatch):
         assert own == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in plain(text) or [])
 
 
+def test_token_messages_are_read_once(spark):
+    tokenizers = token_alignment.Tokenizers(*read_tokenizers(spark).value)
+    whole, reads = tokenizers.encoded([" one", " two words"]), []
+
+    class Message:
+        def __init__(self, message):
+            self.message = message
+
+        @property
+        def pieces(self):
+            reads.append(1)
+            return self.message.pieces
+
+    class Pieces:
+        real = tokenizers.b
+
+        def encode(self, *args, **kwargs):
+            return list(map(Message, self.real.encode(*args, **kwargs)))
+
+    tokenizers.b = Pieces()
+    again = tokenizers.encoded([" one", " two words"])
+    assert [[x.tolist() for x in t] for t in again] == [[x.tolist() for x in t] for t in whole]
+    assert len(reads) == 2
+
+
 def test_large_groups_count_their_links():
     a, b = np.arange(100) % 3, np.arange(90) % 2 + 5
     group, code, times = token_alignment._linked(a, b, np.array([100]), np.array([90]))
