@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,15 +19,16 @@ from cohortline.functions import fill_unknown
 from cohortline.operators.ordering import exact_quantiles, one_quantile
 from cohortline.operators.kmeans import best_fits
 from cohortline.operators.vectors import (
+    BLOCK_ROWS,
+    PACK_BYTES,
     VectorScale,
-    _distances,
-    blockwise,
     center_distance,
     centre_blocks,
     centroids,
     fit_scale,
-    matrix_of,
+    listed_matrix,
     nearest_in,
+    packs_for_cores,
     scale_vectors,
     usable,
 )
@@ -39,6 +41,9 @@ OUTLIER_PERCENTILE = 99.5
 TOP_OUTLIERS = 50
 RESTARTS, MAX_ITERATIONS = 20, 300
 OUTLIER = -1
+#: Distances held at once, sums that a block may have, and the share of the squares below which a squared distance counts as
+#: cancelled and is taken from the differences.
+SLAB_ROWS, SLAB_COLUMNS, GAPS_AT_ONCE, CELLS, CANCELLED = 256, 2048, 1 << 16, 1 << 22, 1e-6
 
 PROFILE_MEANS = {
     "avg_score_mean": "avg_score",
@@ -129,13 +134,96 @@ def size_range(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- clustering
 
 
+def _gaps(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Distances of all rows of two matrices. Squares and products cancel where rows are close: there they are taken from
+    the differences, so equal rows have no distance."""
+    squares = (left * left).sum(axis=1)[:, None] + (right * right).sum(axis=1)[None, :]
+    with np.errstate(invalid="ignore", over="ignore"):
+        far = squares - 2.0 * (left @ right.T)
+        near = np.flatnonzero(~(far >= CANCELLED * squares).ravel())
+    flat = far.ravel()
+    for a in range(0, len(near), GAPS_AT_ONCE):
+        i, j = np.divmod(near[a : a + GAPS_AT_ONCE], len(right))
+        gap = left[i] - right[j]
+        flat[near[a : a + GAPS_AT_ONCE]] = (gap * gap).sum(axis=1)
+    return np.sqrt(far, out=far)
+
+
+def _sums_by_cluster(left: np.ndarray, right: np.ndarray, left_begin: np.ndarray, right_begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Total distances of the left rows to every right cluster, and of the right rows to every left one. Rows are sorted by
+    cluster; ``begin`` has the first row of each."""
+    to_right = np.zeros((len(left), len(right_begin)))
+    to_left = np.zeros((len(right), len(left_begin)))
+
+    def runs(begin: np.ndarray, low: int, high: int) -> tuple[slice, np.ndarray]:
+        first, last = np.searchsorted(begin, low, "right") - 1, np.searchsorted(begin, high, "left")
+        return slice(first, last), np.maximum(begin[first:last] - low, 0)
+
+    for a in range(0, len(left), SLAB_ROWS):
+        own, starts = runs(left_begin, a, min(a + SLAB_ROWS, len(left)))
+        for b in range(0, len(right), SLAB_COLUMNS):
+            other, borders = runs(right_begin, b, min(b + SLAB_COLUMNS, len(right)))
+            far = _gaps(left[a : a + SLAB_ROWS], right[b : b + SLAB_COLUMNS])
+            to_right[a : a + SLAB_ROWS, other] += np.add.reduceat(far, borders, axis=1)
+            to_left[b : b + SLAB_COLUMNS, own] += np.add.reduceat(far, starts, axis=0).T
+    return to_right, to_left
+
+
+def _distance_sums(rows: DataFrame, types: dict[str, str], block_rows: int | None = None) -> DataFrame:
+    """``(key, cluster, other, n, total)``: distances of every row to the rows of every cluster, added up per pair of blocks.
+
+    Rows are dealt to blocks by key, as many as keep all cores busy, more where a block would exceed ``PACK_BYTES`` or its
+    sums ``CELLS``. A row goes to one tile with every block, its own included.
+    """
+    about = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d"), F.count_distinct("cluster").alias("k")).first()
+    most = min(PACK_BYTES // (8 * max(1, about["d"] or 1)), max(BLOCK_ROWS // 2, CELLS // max(1, about["k"])))
+    most = block_rows or min(max(1, most), max(BLOCK_ROWS, -(-about["n"] // packs_for_cores(rows.sparkSession))))
+    blocks = max(1, -(-about["n"] // most))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("facing", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tiles = dealt.select("key", "cluster", "vector", "block", F.least("block", "facing").alias("low"), F.greatest("block", "facing").alias("high"))
+
+    def sums(part: pa.Table) -> pa.Table:
+        low, high = part.column("low")[0].as_py(), part.column("high")[0].as_py()
+        sides = []
+        for block in dict.fromkeys((low, high)):
+            own = part.filter(pc.equal(part.column("block"), block)).sort_by("cluster")
+            clusters = own.column("cluster").combine_chunks()
+            begin = np.zeros(1, np.int64)
+            if len(own) > 1:
+                begin = np.concatenate([begin, 1 + np.flatnonzero(pc.not_equal(clusters[1:], clusters[:-1]).to_numpy(zero_copy_only=False))])
+            sides.append((own, listed_matrix(own.column("vector")), begin))
+        if any(not len(own) for own, _, _ in sides):
+            sides = []
+        else:
+            # Distances are the same from any origin; a near one loses fewer digits.
+            middle = np.concatenate([m for _, m, _ in sides]).mean(axis=0)
+            sides = [(own, m - middle, begin) for own, m, begin in sides]
+        out = []
+        if sides:
+            (own, m, begin), (other, w, border) = sides[0], sides[-1]
+            to_other, to_own = _sums_by_cluster(m, w, begin, border)
+            for rows_, total, far, starts in ((own, to_other, other, border), (other, to_own, own, begin))[: len(sides)]:
+                at, c = (x.ravel() for x in np.indices(total.shape))
+                sizes = np.diff(np.append(starts, len(far)))
+                out.append([rows_.column("key").take(pa.array(at)), rows_.column("cluster").take(pa.array(at)), far.column("cluster").take(pa.array(starts[c])), pa.array(sizes[c]), pa.array(total.ravel())])
+        names = ["key", "cluster", "other", "n", "total"]
+        found = [pa.table(columns, names=names) for columns in out]
+        if not found:
+            one = part.slice(0, 0)
+            found = [pa.table([one.column("key"), one.column("cluster"), one.column("cluster"), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)]
+        return pa.concat_tables(found)
+
+    schema = f"key {types['key']}, cluster {types['cluster']}, other {types['cluster']}, n bigint, total double"
+    return tiles.groupBy("low", "high").applyInArrow(sums, schema)
+
+
 def silhouette(
     df: DataFrame, key: str, vector: str = "embedding", cluster: str = "cluster", metric: str = "euclidean"
 ) -> DataFrame:
     """Mean silhouette over all rows, one row (``n``, ``silhouette``).
 
-    ``euclidean`` is exact and needs every distance: the work is quadratic, spread over blocks that
-    return only sums per row and cluster. ``squaredEuclidean`` needs two linear passes and is the choice
+    ``euclidean`` is exact and needs every distance: the work is quadratic, spread over pairs of blocks that
+    return only sums per row and cluster; each distance is taken once, for both rows. ``squaredEuclidean`` needs two linear passes and is the choice
     for very large tables; its value is a different one.
     """
     rows = df.select(F.col(key).alias("key"), F.col(cluster).alias("cluster"), F.col(vector).alias("vector"))
@@ -149,25 +237,8 @@ def silhouette(
         )
         return rows.agg(F.count("*").alias("n"), F.lit(float(value)).alias("silhouette"))
 
-    types = dict(rows.dtypes)
-
-    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Per left row and right cluster: total distance and number."""
-        parts = [
-            pd.DataFrame(
-                {
-                    "key": left["key"], "cluster": left["cluster"], "other": c, "n": len(members),
-                    "total": _distances(matrix_of(left["vector"]), matrix_of(members)).sum(axis=1),
-                }
-            )
-            for c, members in right.groupby("cluster")["vector"]
-            if len(left)
-        ]
-        return pd.concat(parts) if parts else pd.DataFrame(columns=["key", "cluster", "other", "n", "total"])
-
-    schema = f"key {types['key']}, cluster {types['cluster']}, other {types['cluster']}, n bigint, total double"
     rows = rows.where(usable("vector") & F.col("cluster").isNotNull())
-    pairs = blockwise(rows, rows, "key", "key", sums, schema)
+    pairs = _distance_sums(rows, dict(rows.dtypes))
     totals = pairs.groupBy("key", "cluster", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     mine = F.col("cluster") == F.col("other")
     sides = totals.groupBy("key", "cluster").agg(

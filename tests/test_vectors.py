@@ -147,6 +147,36 @@ def test_fewer_pairs_than_quadratic_on_groups(spark):
     assert pairs[20_000] < 40 * pairs[2000] and pairs[20_000] < 20_000**2 / 10
 
 
+def test_rows_are_sent_to_packs_of_cells(spark, monkeypatch):
+    """Vectors without groups need nearly every cell: what is written and exchanged grows with the packs, not with the cells."""
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(1500, 12))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, embedding array<double>")
+    written, cut = [], neighbours.cut_lineage
+
+    def counted(rows):
+        out = cut(rows)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "cut_lineage", counted)
+    found = neighbours.nearest_neighbour(df, df, "id", block_rows=20)
+    assert max(written) <= 16 * len(points)
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    similar = np.round(unit @ unit.T, 12)
+    np.fill_diagonal(similar, -np.inf)
+    assert {r["key"]: r["neighbour"] for r in found.collect()} == dict(enumerate(similar.argmax(axis=1)))
+
+
+@pytest.mark.parametrize("sizes", [[], [0, 0], [3, 0, 4, 25, 2, 9], [40], [1] * 30])
+def test_packs_hold_every_cell(sizes):
+    packs = neighbours._Packs(np.array(sizes, np.int64), 10)
+    where = [(c, p) for p, cells in enumerate(packs.cells) for c in cells]
+    assert sorted(where) == [(c, packs.first[c] + i) for c, n in enumerate(sizes) if n for i in range(packs.parts[c])]
+    assert all(packs.parts[c] == max(1, -(-n // 10)) for c, n in enumerate(sizes))
+    assert all(len(cells) == 1 or sum(sizes[c] for c in cells) <= 10 for cells in packs.cells)
+
+
 def test_blocks_cover_every_pair_once(cloud):
     df, _, points = cloud
 
@@ -166,6 +196,22 @@ def test_silhouette(cloud, metric):
     assert (got["n"], got["silhouette"]) == (120, pytest.approx(want, abs=1e-6 if metric == "euclidean" else 2e-2))
 
 
+def test_distance_sums_of_pairs_of_blocks(spark):
+    """Every pair of blocks meets once and gives both sides; far from the origin, with equal and nearly equal rows."""
+    rng = np.random.default_rng(8)
+    points = np.round(rng.normal(size=(90, 5)), 3) + 1000.0
+    points[50:60], points[60:63] = points[:10], points[:3] + 1e-9
+    labels = rng.integers(0, 4, 90)
+    df = spark.createDataFrame([(f"k{i}", f"c{c}", p.tolist()) for i, (c, p) in enumerate(zip(labels, points))], "key string, cluster string, vector array<double>")
+    sums = clusters._distance_sums(df, dict(df.dtypes), block_rows=12)
+    got = {(r["key"], r["other"]): (r["n"], r["total"]) for r in sums.groupBy("key", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
+    far = distances(points)
+    want = {(f"k{i}", f"c{c}"): ((labels == c).sum(), pytest.approx(far[i, labels == c].sum(), rel=1e-9)) for i in range(90) for c in range(4)}
+    assert got == want
+    # 8 blocks: a row is sent to each once, and no pair of blocks meets twice.
+    assert sums.count() <= 90 * 8 * 4
+
+
 def test_silhouette_of_single_points(table):
     df = table([(1, 0, [0.0]), (2, 0, [1.0]), (3, 1, [5.0])], "id int, cluster int, embedding array<float>")
     got = clusters.silhouette(df, "id").first()["silhouette"]
