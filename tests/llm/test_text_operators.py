@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from messy_fixtures import messy, messy_rows, nothing  # noqa: F401
 
@@ -555,6 +556,19 @@ def test_personal_data_of_messy_rows(spark, messy, messy_rows, nothing):
     assert personal_data.find_personal_data(nothing).count() == 0
 
 
+def test_batches_are_read_in_slices(spark):
+    """However many texts a batch has, few bytes of them are Python strings at once; nothing is lost, texts may stay behind."""
+    texts = [None, "a" * 30, "", "ö" * 10, "b" * 500, None, "c" * 40, "d" * 41]
+    parts = personal_data.sliced(pa.array(texts), 60)
+    assert [t for p in parts for t in p.to_pylist()] == texts
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.to_pylist()) <= 60 for p in parts) and len(parts) == 4
+    assert personal_data.sliced(pa.array([], pa.string())) == []
+    docs = spark.createDataFrame([(i, "write to a@b.example or +49 30 1234567" if i % 3 else None) for i in range(20)], "doc_id long, text string")
+    found = personal_data.find_personal_data(docs, keep_text=False)
+    assert found.columns == ["doc_id", "base_spans", "spans"]
+    assert {r["doc_id"]: len(r["base_spans"]) for r in found.collect()} == {i: 2 if i % 3 else 0 for i in range(20)}
+
+
 def test_plain_numbers_do_not_crowd_out_the_spans(spark):
     rows = [(f"line {i} " + "z" * 60,) for i in range(3000)] + [(f"write to user{i}@mail.example now",) for i in range(30)]
     windows = personal_data.training_windows(spark.createDataFrame(rows, "text string"), 200)
